@@ -4,27 +4,510 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from groundline.operators import references
-from groundline.runtime import table
+from groundline.config import Settings
+from groundline.functions import text as T
+from groundline.functions import vocabulary as V
+from groundline.operators import answers, chunking, dense, fusion, lexical, metrics, planning, references, relevance, rerank, store
+from groundline.plans import search, sql
+from groundline.runtime import materialise, table
+from groundline.sources.filings import split_items
+from groundline.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
+CORE: dict[str, Query] = {}
+CORE_SQL: dict[str, str] = {}
 
 
-def _orphans(spark: SparkSession, d: str) -> DataFrame:
-    return references.orphan_references(*(table(spark, d, t) for t in ("chunks", "qrels", "documents", "deletions")))
+def query(statement: str | None = None):
+    """Registers a query under its function's name, with its statement if SQL can express it."""
 
+    def register(f: Query) -> Query:
+        CORE[f.__name__] = f
+        if statement:
+            CORE_SQL[f.__name__] = statement
+        return f
 
-def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _orphans(spark, d)
+    return register
 
 
-def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return references.orphan_report(_orphans(spark, d))
+# ---------------------------------------------------------------- text
+
+
+@query(f"SELECT doc_id, len({sql.tokens('text')}) AS n_tokens, len({sql.tokens('text', True)}) AS n_content, len(list_distinct({sql.tokens('text')})) AS n_distinct FROM documents")
+def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", *[F.size(c).cast("bigint").alias(n) for n, c in (("n_tokens", T.tokens(t)), ("n_content", T.content_tokens(t)), ("n_distinct", F.array_distinct(T.tokens(t))))])
+
+
+@query(f"WITH w AS (SELECT DISTINCT unnest({sql.tokens('text')}) AS word FROM documents) SELECT word, {sql.stems('[word]')}[1] AS stem FROM w")
+def stem_vocab(spark: SparkSession, d: str) -> DataFrame:
+    words = table(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
+    return words.select("word", T.stem(F.col("word")).alias("stem"))
+
+
+@query()
+def sentence_stats(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "documents").where("text is not null").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").alias("n_sentences"), F.coalesce(F.array_max(F.transform("s", lambda x: F.length(x))), F.lit(0)).alias("longest"))
+
+
+@query()
+def normalise_ws(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.normalise_whitespace(F.col("text")).alias("t")).select("doc_id", F.length("t").alias("n_chars"), F.md5(F.col("t")).alias("digest"))
+
+
+@query()
+def clean_text(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", T.clean_document_text(F.col("text")).alias("text"))
+    return chunking.drop_boilerplate(docs, "doc_id", "text").select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+
+
+@query("SELECT doc_id, left(sha256(concat_ws('␟', source_type, coalesce(source_file, text))), 16) AS stable_id FROM documents")
+def stable_ids(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.stable_hash(F.col("source_type"), F.coalesce("source_file", "text")).alias("stable_id"))
+
+
+_STRIPPED = f"regexp_replace(regexp_replace(raw, {sql.lit('^' + V.BLANK + '+')}, ''), {sql.lit(V.BLANK + '+$')}, '')"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents), s AS (SELECT doc_id, {_STRIPPED} AS line FROM l)
+SELECT doc_id, line, count(*) AS n FROM s WHERE line <> '' AND len({sql.words('line')}) <= 12 GROUP BY ALL HAVING count(*) >= 3""")
+def boilerplate_lines(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.boilerplate_lines(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query(f"""WITH h AS (SELECT doc_id, substring(text, 1, 4000) AS h FROM documents)
+SELECT doc_id, nullif(regexp_extract(h, {sql.lit(V.FISCAL_YEAR)}, 1), '') AS fiscal_year, upper(nullif(regexp_extract(h, {sql.lit(V.FORM_TYPE)}, 1), '')) AS form_type,
+  nullif(regexp_extract(h, '(?:^|[^\\p{{L}}\\p{{N}}_])((?:19|20)\\d{{2}})(?:$|[^\\p{{L}}\\p{{N}}_])', 1), '') AS first_year FROM h""")
+def infer_metadata(spark: SparkSession, d: str) -> DataFrame:
+    h = F.substring("text", 1, 4000)
+    found = lambda p, g: F.nullif(F.regexp_extract(h, p, g), F.lit(""))
+    return table(spark, d, "documents").select("doc_id", found(V.FISCAL_YEAR, 1).alias("fiscal_year"), F.upper(found(V.FORM_TYPE, 1)).alias("form_type"), found(V.YEAR, 0).alias("first_year"))
+
+
+@query("""SELECT doc_id, CASE source_type
+  WHEN 'sec_filing' THEN coalesce(nullif(concat_ws(' - ', nullif(company_name, ''), nullif(form_type, ''), CASE WHEN fiscal_year <> 0 THEN 'FY' || fiscal_year END), ''), nullif(title, ''), CAST(doc_id AS VARCHAR))
+  WHEN 'biomedical_abstract' THEN coalesce(nullif(title, ''), CAST(doc_id AS VARCHAR)) || CASE WHEN coalesce(journal, '') <> '' AND publication_year IS NOT NULL THEN ' (' || journal || ', ' || publication_year || ')' ELSE '' END
+  ELSE coalesce(nullif(title, ''), CAST(doc_id AS VARCHAR)) END AS label FROM documents""")
+def citation_labels(spark: SparkSession, d: str) -> DataFrame:
+    from groundline.sources.files import citation_label
+
+    meta = F.struct("title", "company_name", "form_type", "fiscal_year", "journal", "publication_year")
+    return table(spark, d, "documents").select("doc_id", meta.alias("m"), "source_type").select("doc_id", citation_label(F.col("source_type"), F.col("m"), F.lit(None).cast("string"), F.col("doc_id").cast("string")).alias("label"))
+
+
+# ---------------------------------------------------------------- chunks
+
+
+@query(f"""WITH w AS (SELECT doc_id, text, {sql.words('text')} AS w, list_transform(regexp_split_to_array(text, {sql.lit(V.SOLID + '+')}), lambda g: length(g)) AS g FROM documents WHERE text IS NOT NULL),
+n AS (SELECT *, len(w) AS n FROM w WHERE len(w) > 0),
+s AS (SELECT *, unnest(CASE WHEN n <= 180 THEN [0] ELSE list_filter(range(0, n, 140), lambda s: s = 0 OR s - 140 + 180 < n) END) AS s FROM n),
+e AS (SELECT *, least(s + 180, n) AS e, s // 140 AS position FROM s WHERE s = 0 OR least(s + 180, n) - s >= 40),
+b AS (SELECT *, coalesce(list_sum(list_transform(w[1:s], lambda x: length(x))), 0) + list_sum(g[1:s + 1]) AS b FROM e),
+c AS (SELECT doc_id, CAST(position AS INTEGER) AS position, CASE WHEN n < 40 THEN text ELSE array_to_string(w[s + 1:e], ' ') END AS t, CASE WHEN n < 40 THEN 0 ELSE b END AS char_start,
+  CASE WHEN n < 40 THEN length(text) ELSE b + list_sum(list_transform(w[s + 1:e], lambda x: length(x))) + coalesce(list_sum(g[s + 2:e]), 0) END AS char_end FROM b)
+SELECT doc_id, position, CAST(char_start AS INTEGER) AS char_start, CAST(char_end AS INTEGER) AS char_end, left(sha256(concat_ws('␟', CAST(doc_id AS VARCHAR), CAST(position AS VARCHAR), substring(t, 1, 64))), 16) AS chunk_id FROM c""")
+def fixed_window_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return chunking.fixed_windows(table(spark, d, "documents"), "doc_id", "text", 180, 40, 40).drop("text")
+
+
+@query()
+def section_chunks(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", T.nfkc(F.col("text")).alias("nf"))
+    docs = docs.select("doc_id", T.collapsed(F.col("nf")).alias("text"), chunking.markdown_sections(F.col("nf")).alias("sections"))
+    return chunking.section_windows(docs, "doc_id", "text", "sections").select("doc_id", "position", "section_heading", "char_start", "char_end", "chunk_id", T.token_count(F.col("text")).alias("tokens"))
+
+
+@query()
+def item_sections(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("source_type = 'sec_filing' and text is not null").select("doc_id", split_items(F.regexp_replace("text", r"(?m)^#+ *", "")).alias("s"))
+    return docs.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.heading", "s.order", F.length("s.text").alias("n_chars"))
+
+
+@query("""WITH r AS (SELECT DISTINCT doc_id, char_start AS s, char_end AS e FROM chunks WHERE doc_id IS NOT NULL AND char_start IS NOT NULL AND char_end IS NOT NULL),
+w AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r),
+i AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM w)
+SELECT doc_id, min(s) AS "start", max(e) AS "end" FROM i GROUP BY doc_id, island""")
+def interval_merge(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "chunks").where("doc_id is not null").select("doc_id", F.col("char_start").alias("start"), F.col("char_end").alias("end")).distinct()
+    return chunking.merged_ranges(r, "doc_id").select("doc_id", "start", "end")
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks, each id once: the one of the lowest document and position (rows delivered twice are equal)."""
+    order = Window.partitionBy("chunk_id").orderBy(F.coalesce("doc_id", F.lit(-9)), "position")
+    c = table(spark, d, "chunks").select("chunk_id", "doc_id", "position", "section_heading", "text")
+    return c.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+
+
+def _described(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "source_type", "company_name", "title", "ticker", "journal", "cik", "source_file")
+    return _chunks(spark, d).join(docs, "doc_id", "left")
+
+
+def _bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
+    hits = lexical.bm25_scores(table(spark, d, "probe_queries"), _chunks(spark, d), "query_id", "query", "chunk_id", lexical.indexed_text(F.col("section_heading"), F.col("text")))
+    return lexical.top_k(hits, "query_id", "score", "chunk_id", k)
+
+
+@query(f"WITH {sql.BM25} SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM hits QUALIFY rank <= 10")
+def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _bm25(spark, d, 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+def _vectors(spark: SparkSession, d: str, k: int) -> DataFrame:
+    v = table(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    return dense.dense_top_k(v.where("vec_id % 20 = 0"), v, "vec_id", "embedding", k)
+
+
+@query(f"WITH {sql.DENSE} SELECT query_id, vec_id, score, rank FROM top WHERE rank <= 10")
+def dense_topk(spark: SparkSession, d: str) -> DataFrame:
+    return _vectors(spark, d, 10)
+
+
+@query()
+def lsi_topk(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    weights, _ = dense.tfidf(docs, "doc_id", F.col("text"), min_df=2)
+    rows, _ = dense.latent_vectors(weights, "doc_id", dim=32, power_rounds=1)
+    rows = materialise(rows, "vectors")
+    return dense.dense_top_k(rows.where("doc_id % 20 = 0"), rows, "doc_id", "vector", 5)
+
+
+def _two_lists(spark: SparkSession, d: str, k: int = 50) -> tuple[DataFrame, DataFrame]:
+    r = table(spark, d, "retrieved_chunks").where("query_id is not null and chunk_id is not null")
+    best = r.groupBy("query_id", "chunk_id").agg(*[F.max(F.when(~F.isnan(c), F.col(c))).alias(c) for c in ("lexical_score", "dense_score")])
+    lists = []
+    for c in ("lexical_score", "dense_score"):
+        scored = best.select("query_id", "chunk_id", F.col(c).alias("score")).where("score is not null" + (" and score > 0" if c == "lexical_score" else ""))
+        lists.append(fusion.ranked(scored, "query_id", "chunk_id", k=k))
+    return lists[0], lists[1]
+
+
+_TWO = """b AS (SELECT query_id, chunk_id, max(CASE WHEN NOT isnan(lexical_score) THEN lexical_score END) AS l, max(CASE WHEN NOT isnan(dense_score) THEN dense_score END) AS d
+  FROM retrieved_chunks WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL GROUP BY ALL),
+lx AS (SELECT query_id, chunk_id, l, row_number() OVER (PARTITION BY query_id ORDER BY round(l, 9) DESC, chunk_id) AS rank FROM b WHERE l > 0 QUALIFY rank <= 50),
+dn AS (SELECT query_id, chunk_id, d, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9) DESC, chunk_id) AS rank FROM b WHERE d IS NOT NULL QUALIFY rank <= 50)"""
+
+
+@query(f"""WITH {_TWO}, u AS (SELECT query_id, chunk_id, rank FROM lx UNION ALL SELECT query_id, chunk_id, rank FROM dn), f AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM u GROUP BY ALL)
+SELECT query_id, chunk_id, round(score, 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10""")
+def fuse_rrf(spark: SparkSession, d: str) -> DataFrame:
+    f = fusion.reciprocal_rank_fusion(_two_lists(spark, d), "query_id", "chunk_id")
+    return fusion.ranked(f, "query_id", "chunk_id", k=10).withColumn("score", F.round("score", 9))
+
+
+@query(f"""WITH {_TWO}, u AS (SELECT query_id, chunk_id, coalesce(l, 0) AS l, coalesce(d, 0) AS d FROM (SELECT query_id, chunk_id, l FROM lx) FULL JOIN (SELECT query_id, chunk_id, d FROM dn) USING (query_id, chunk_id)),
+m AS (SELECT *, min(l) OVER w AS l0, max(l) OVER w AS l1, min(d) OVER w AS d0, max(d) OVER w AS d1 FROM u WINDOW w AS (PARTITION BY query_id)),
+f AS (SELECT query_id, chunk_id, 0.45 * (CASE WHEN l1 - l0 < 1e-12 THEN 0.0 ELSE (l - l0) / (l1 - l0) END) + 0.55 * (CASE WHEN d1 - d0 < 1e-12 THEN 0.0 ELSE (d - d0) / (d1 - d0) END) AS score FROM m)
+SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM f QUALIFY rank <= 10""")
+def fuse_weighted(spark: SparkSession, d: str) -> DataFrame:
+    f = fusion.weighted_fusion(*_two_lists(spark, d), "query_id", "chunk_id")
+    return fusion.ranked(f, "query_id", "chunk_id", k=10, digits=6).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("""WITH b AS (SELECT query_id, chunk_id, max(score) AS score, arg_max(source_type, score) AS st FROM retrieved_chunks WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS r FROM b QUALIFY r <= 40),
+s AS (SELECT *, coalesce(st = 'biomedical_abstract', false) AS m, max(CASE WHEN st = 'biomedical_abstract' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS hits FROM p)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM s WHERE m OR hits = 0 QUALIFY rank <= 10""")
+def scoped_search(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "retrieved_chunks").where("query_id is not null and chunk_id is not null and score is not null and not isnan(score)")
+    b = r.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.max_by("source_type", "score").alias("st"))
+    pool = fusion.ranked(b, "query_id", "chunk_id", k=40)
+    kept = fusion.scope_or_all(pool, "query_id", F.col("st") == "biomedical_abstract", F.lit(True))
+    return fusion.ranked(kept, "query_id", "chunk_id", k=10).select("query_id", "chunk_id", "rank")
+
+
+@query("""WITH b AS (SELECT query_id, chunk_id, retrieved_at, score, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, retrieved_at) AS r FROM retrieved_chunks
+  WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score))
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, retrieved_at, chunk_id) AS rank FROM b WHERE r = 1 QUALIFY rank <= 10""")
+def merge_best(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "retrieved_chunks").where("query_id is not null and chunk_id is not null and score is not null and not isnan(score)").select("query_id", "chunk_id", "score", "retrieved_at")
+    return fusion.merge_results(r, "query_id", "chunk_id", "retrieved_at", 10).select("query_id", "chunk_id", "score", "rank")
+
+
+def _pairs(spark: SparkSession, d: str, k: int = 30) -> DataFrame:
+    hits = _bm25(spark, d, k).withColumn("lexical_score", F.round("score", 6)).withColumn("dense_score", F.lit(0.0)).withColumn("score", F.col("lexical_score"))
+    return hits.join(_chunks(spark, d), "chunk_id").join(table(spark, d, "probe_queries").select("query_id", "query"), "query_id")
+
+
+_Q, _C, _H = "qt", "ct2", "ht"
+_BI = lambda t: f"list_transform(range(1, len({t})), lambda i: {t}[i] || '_' || {t}[i + 1])"
+
+
+@query(f"""WITH {sql.BM25}, k AS (SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM hits QUALIFY rank <= 30),
+p AS (SELECT k.*, p.query, c.text, {sql.tokens('p.query', True)} AS qt, {sql.tokens('c.text', True)} AS ct2, {sql.tokens('c.section_heading', True)} AS ht,
+  regexp_replace(regexp_replace(lower(p.query), '^[? ]+', ''), '[? ]+$', '') AS phrase FROM k JOIN c USING (chunk_id) JOIN probe_queries p USING (query_id)),
+b AS (SELECT *, {_BI('qt')} AS qb, {_BI('ct2')} AS cb, list_position(list_transform(ct2, lambda x: list_contains(qt, x)), true) AS pos FROM p)
+SELECT query_id, chunk_id, score AS lexical_score, score AS fused_score, round({sql.containment('qt', 'ct2')}, 9) AS query_containment,
+  round(CASE WHEN len(qt) > 0 AND len(ct2) > 0 THEN len(list_intersect(qt, ct2)) / len(list_distinct(list_concat(qt, ct2))) ELSE 0.0 END, 9) AS token_jaccard, round({sql.containment('qb', 'cb')}, 9) AS bigram_containment,
+  round(CASE WHEN len(ht) > 0 THEN {sql.containment('qt', 'ht')} ELSE 0.0 END, 9) AS heading_match, least(len(ct2) / 200.0::DOUBLE, 2.0::DOUBLE) AS length_ratio,
+  round(CASE WHEN coalesce(pos, 0) > 0 THEN (pos - 1) / greatest(len(ct2), 1) ELSE 1.0 END, 9) AS first_match_position, CASE WHEN phrase <> '' AND contains(lower(text), phrase) THEN 1.0::DOUBLE ELSE 0.0 END AS exact_phrase FROM b""")
+def rerank_features(spark: SparkSession, d: str) -> DataFrame:
+    f = rerank.features(_pairs(spark, d))
+    rounded = [F.round(c, 9).alias(c) for c in ("query_containment", "token_jaccard", "bigram_containment", "heading_match", "first_match_position")]
+    return f.select("query_id", "chunk_id", "lexical_score", "fused_score", *rounded, "length_ratio", "exact_phrase")
+
+
+# ---------------------------------------------------------------- judgements and metrics
+
+
+def _targets(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "qrels").select("query_id", F.posexplode("relevant").alias("target", "r"))
+    return q.select("query_id", "target", "r.document", F.filter("r.sections", lambda s: s.isNotNull()).alias("sections")).where("document is not null")
 
 
-P1_SQL = """
+def _judged_chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").where("source_file is not null").select("doc_id", F.col("source_file").alias("document"))
+    c = table(spark, d, "chunks").select("chunk_id", "doc_id", "section_heading", "char_start", "char_end").distinct().join(docs, "doc_id")
+    spans = c.where("section_heading is not null").groupBy("document", F.col("section_heading").alias("heading")).agg(F.min("char_start").alias("start"), F.max("char_end").alias("end"))
+    return c, spans
+
+
+_RESOLVED = """t AS (SELECT DISTINCT query_id, target, document, sections FROM (SELECT query_id, target - 1 AS target, r.document AS document, coalesce(list_filter(r.sections, lambda s: s IS NOT NULL), []) AS sections
+  FROM (SELECT query_id, unnest(relevant) AS r, generate_subscripts(relevant, 1) AS target FROM qrels)) WHERE document IS NOT NULL),
+jc AS (SELECT DISTINCT chunk_id, section_heading, char_start, char_end, source_file AS document FROM chunks c JOIN documents d ON c.doc_id = d.doc_id WHERE source_file IS NOT NULL),
+sp AS (SELECT document, section_heading AS heading, min(char_start) AS s, max(char_end) AS e FROM jc WHERE section_heading IS NOT NULL GROUP BY ALL),
+nm AS (SELECT query_id, target, document, unnest(sections) AS heading FROM t),
+rg AS (SELECT query_id, target, document, s, e FROM nm JOIN sp USING (document, heading) WHERE s IS NOT NULL AND e IS NOT NULL),
+rw AS (SELECT *, max(e) OVER (PARTITION BY query_id, target, document ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM rg),
+ri AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, target, document ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM rw),
+mg AS (SELECT query_id, target, document, min(s) AS s, max(e) AS e FROM ri GROUP BY query_id, target, document, island),
+ln AS (SELECT query_id, target, document, sum(e - s) AS n FROM mg GROUP BY ALL),
+cv AS (SELECT query_id, target, document, chunk_id, char_start, char_end, sum(greatest(least(char_end, e) - greatest(char_start, s), 0)) AS c FROM mg JOIN jc USING (document) GROUP BY ALL),
+rel AS (SELECT query_id, chunk_id FROM cv JOIN ln USING (query_id, target, document) WHERE c / greatest(char_end - char_start, 1) >= 0.4 OR c / greatest(n, 1) >= 0.6
+  UNION SELECT query_id, chunk_id FROM t JOIN jc USING (document) WHERE len(sections) = 0
+  UNION SELECT query_id, chunk_id FROM nm JOIN jc ON nm.document = jc.document AND nm.heading = jc.section_heading WHERE (query_id, target) NOT IN (SELECT (query_id, target) FROM ln))"""
+
+
+@query(f"WITH {_RESOLVED} SELECT DISTINCT query_id, chunk_id FROM rel")
+def qrels_resolve(spark: SparkSession, d: str) -> DataFrame:
+    c, spans = _judged_chunks(spark, d)
+    return relevance.resolve(_targets(spark, d), c, spans)
+
+
+@query(f"WITH {_RESOLVED} SELECT DISTINCT query_id FROM t WHERE query_id NOT IN (SELECT query_id FROM rel)")
+def qrels_unresolved(spark: SparkSession, d: str) -> DataFrame:
+    return relevance.unresolved(_targets(spark, d), qrels_resolve(spark, d))
+
+
+def _run(spark: SparkSession, d: str) -> DataFrame:
+    """Dense hits with their relevance: vectors of the query's label, the query itself left out of the judgements."""
+    v = table(spark, d, "embeddings").select("vec_id", "label")
+    asked = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("q_label"))
+    relevant = asked.join(v, F.col("q_label") == F.col("label")).where("query_id <> vec_id").select("query_id", "vec_id")
+    run = _vectors(spark, d, 25).join(v, "vec_id").join(asked, "query_id").select("query_id", "vec_id", "rank", "q_label", (F.length(F.col("vec_id").cast("string")) * 30).alias("tokens"))
+    return metrics.judged(run, relevant, "query_id", "vec_id")
+
+
+_RUN = f"""{sql.DENSE}, rel AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.label = b.label AND a.vec_id <> b.vec_id),
+nr AS (SELECT query_id, count(*) AS n FROM rel GROUP BY 1),
+jd AS (SELECT t.query_id, t.vec_id, t.rank, q.label AS q_label, length(CAST(t.vec_id AS VARCHAR)) * 30 AS tokens, CASE WHEN r.vec_id IS NULL THEN 0 ELSE 1 END AS hit, coalesce(n, 0) AS n,
+  sum(CASE WHEN r.vec_id IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY t.query_id ORDER BY t.rank ROWS UNBOUNDED PRECEDING) AS so_far
+  FROM top t LEFT JOIN rel r USING (query_id, vec_id) LEFT JOIN nr ON nr.query_id = t.query_id JOIN v q ON q.vec_id = t.query_id)"""
+
+
+def _metric_sql(ks: list[int]) -> str:
+    out = ["query_id", "any_value(q_label) AS q_label", "CAST(max(n) AS BIGINT) AS n_relevant", "round(coalesce(1.0::DOUBLE / min(CASE WHEN hit = 1 THEN rank END), 0.0), 9) AS reciprocal_rank"]
+    for k in ks:
+        ideal = f"list_sum(list_transform(range(1, CAST(least(max(n), {k}) AS BIGINT) + 1), lambda r: 1.0::DOUBLE / log2(r + 1)))"
+        inside = f"hit = 1 AND rank <= {k}"
+        out += [
+            f"round(CASE WHEN max(n) > 0 THEN count(*) FILTER ({inside}) / max(n) ELSE 0.0 END, 9) AS recall_at_{k}", f"round(count(*) FILTER ({inside}) / {k}, 9) AS precision_at_{k}",
+            f"round(CASE WHEN max(n) > 0 THEN coalesce(sum(1.0::DOUBLE / log2(rank + 1)) FILTER ({inside}), 0.0) / {ideal} ELSE 0.0 END, 9) AS ndcg_at_{k}",
+            f"round(CASE WHEN max(n) > 0 THEN coalesce(sum(so_far / rank) FILTER ({inside}), 0.0) / least(max(n), {k}) ELSE 0.0 END, 9) AS map_at_{k}",
+        ]
+    return ", ".join(out)
+
+
+_KS = [1, 3, 5, 10]
+_MEASURES = ["reciprocal_rank", *[f"{m}_at_{k}" for k in _KS for m in ("recall", "precision", "ndcg", "map")]]
+
+
+@query(f"WITH {_RUN} SELECT {_metric_sql(_KS)} FROM jd GROUP BY query_id")
+def retrieval_metrics(spark: SparkSession, d: str) -> DataFrame:
+    m = metrics.ranking_metrics(_run(spark, d), "query_id", _KS, "q_label")
+    return m.select("query_id", "q_label", F.col("n_relevant").cast("bigint").alias("n_relevant"), *[F.round(c, 9).alias(c) for c in _MEASURES])
+
+
+@query(f"WITH {_RUN}, pq AS (SELECT {_metric_sql(_KS)} FROM jd GROUP BY query_id) SELECT q_label, count(*) AS queries, {', '.join(f'round(avg({m}), 6) AS {m}' for m in _MEASURES)} FROM pq GROUP BY GROUPING SETS ((q_label), ())")
+def metrics_rollup(spark: SparkSession, d: str) -> DataFrame:
+    m = metrics.by_type(retrieval_metrics(spark, d), "q_label", *_MEASURES)
+    return m.select("q_label", "queries", *[F.round(c, 6).alias(c) for c in _MEASURES])
+
+
+@query(f"""WITH {_RUN}, u AS (SELECT *, sum(tokens) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS used FROM jd), k AS (SELECT * FROM u WHERE used <= 400 OR rank = 1)
+SELECT query_id, round(CASE WHEN max(n) > 0 THEN sum(hit) / max(n) ELSE 0.0 END, 9) AS recall_at_budget, round(sum(hit) / count(*), 9) AS precision_at_budget,
+  round(CASE WHEN max(n) > 0 THEN coalesce(sum(1.0::DOUBLE / log2(rank + 1)) FILTER (hit = 1), 0.0) / list_sum(list_transform(range(1, greatest(CAST(least(max(n), count(*)) AS BIGINT), 1) + 1), lambda r: 1.0::DOUBLE / log2(r + 1))) ELSE 0.0 END, 9) AS ndcg_at_budget,
+  count(*) AS budget_chunks, CAST(sum(tokens) AS BIGINT) AS budget_tokens_used FROM k GROUP BY query_id""")
+def metrics_budget(spark: SparkSession, d: str) -> DataFrame:
+    b = metrics.budget_metrics(_run(spark, d), "query_id", "tokens", 400)
+    return b.select("query_id", *[F.round(c, 9).alias(c) for c in ("recall_at_budget", "precision_at_budget", "ndcg_at_budget")], "budget_chunks", F.col("budget_tokens_used").cast("bigint").alias("budget_tokens_used"))
+
+
+@query("""WITH q AS (SELECT DISTINCT ON (query_id) * FROM query_log WHERE latency_ms >= 0 AND NOT isnan(latency_ms))
+SELECT strategy, count(*) AS n, round(avg(latency_ms), 6) AS mean_ms, round(quantile_cont(latency_ms, 0.5), 6) AS p50_ms, round(quantile_cont(latency_ms, 0.9), 6) AS p90_ms, round(quantile_cont(latency_ms, 0.95), 6) AS p95_ms, round(quantile_cont(latency_ms, 0.99), 6) AS p99_ms
+FROM q GROUP BY strategy""")
+def latency_summary(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "query_log").where("latency_ms >= 0 and not isnan(latency_ms)").select("query_id", "strategy", "latency_ms").dropDuplicates(["query_id"])
+    s = metrics.latency_summary(q, "latency_ms", "strategy")
+    return s.select("strategy", "n", *[F.round(c, 6).alias(c) for c in ("mean_ms", "p50_ms", "p90_ms", "p95_ms", "p99_ms")])
+
+
+@query()
+def bootstrap_mean(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "query_log").where("groundedness between 0 and 1").select("query_id", "groundedness").dropDuplicates(["query_id"])
+    return metrics.bootstrap_distributed(q, "groundedness", resamples=200)
+
+
+_TRUNCATED = "CASE WHEN length(k.text) > 240 THEN regexp_replace(left(k.text, 237), '(?s) [^ ]*$', '') || '...' ELSE k.text END"
+
+
+@query(f"""WITH k AS (SELECT DISTINCT chunk_id, doc_id, text FROM chunks), j AS (SELECT k.chunk_id, k.doc_id, d.doc_id IS NOT NULL AS resolvable, {sql.tokens(_TRUNCATED, True)} AS q, {sql.tokens('d.text', True)} AS t
+  FROM k LEFT JOIN documents d ON k.doc_id = d.doc_id),
+s AS (SELECT *, CASE WHEN resolvable THEN {sql.containment('q', 't')} ELSE 0.0 END AS s FROM j)
+SELECT chunk_id, doc_id, resolvable, round(s, 9) AS support_score, resolvable AND s >= 0.35 AS verified FROM s""")
+def citation_check(spark: SparkSession, d: str) -> DataFrame:
+    k = table(spark, d, "chunks").select("chunk_id", "doc_id", T.truncate(F.col("text"), 240).alias("quote"), "text").distinct().select("chunk_id", "doc_id", "quote")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("text"))
+    cited = k.select(F.col("doc_id").alias("query_id"), F.col("chunk_id").alias("cited"), F.col("doc_id").alias("chunk_id"), "quote")
+    v = answers.verify(cited, docs.withColumn("text", F.coalesce("text", F.lit(""))))
+    return v.select(F.col("cited").alias("chunk_id"), F.col("query_id").alias("doc_id"), "resolvable", F.round("support_score", 9).alias("support_score"), "verified")
+
+
+@query(f"""WITH q AS (SELECT DISTINCT query_id, answer_terms, list_distinct(list_filter(list_transform(relevant, lambda r: r.document), lambda x: x IS NOT NULL)) AS docs FROM qrels),
+j AS (SELECT q.query_id, d.doc_id, q.answer_terms AS terms, array_to_string({sql.words("lower(d.text)")}, ' ') AS low, list_concat({sql.tokens('d.text')}, {sql.words("lower(d.text)")}) AS single
+  FROM q JOIN documents d ON list_contains(q.docs, d.source_file)),
+p AS (SELECT *, list_transform(coalesce(terms, []), lambda t: array_to_string({sql.words('lower(t)')}, ' ')) AS plain FROM j)
+SELECT query_id, doc_id, round(CASE WHEN len(plain) > 0 THEN len(list_filter(plain, lambda t: CASE WHEN contains(t, ' ') THEN contains(low, t) ELSE list_contains(single, t) END)) / len(plain) ELSE 0.0 END, 9) AS completeness FROM p""")
+def completeness(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "qrels").select("query_id", "answer_terms", F.explode(F.array_distinct(F.transform("relevant", lambda r: r["document"]))).alias("source_file")).where("source_file is not null").distinct()
+    j = q.join(table(spark, d, "documents").select("doc_id", "source_file", "text"), "source_file")
+    return j.select("query_id", "doc_id", F.round(metrics.completeness(F.coalesce("text", F.lit("")), F.col("answer_terms")), 9).alias("completeness"))
+
+
+@query()
+def groundedness(spark: SparkSession, d: str) -> DataFrame:
+    """Share of each chunk's sentences that its document supports."""
+    k = _chunks(spark, d).where("doc_id is not null and text is not null")
+    s = k.select("doc_id", "chunk_id", F.explode(T.sentences(F.col("text"))).alias("s")).select("doc_id", "chunk_id", T.content_tokens(F.col("s")).alias("s"))
+    e = table(spark, d, "documents").select("doc_id", T.content_tokens(F.col("text")).alias("p"))
+    supported = metrics.sentence_support(s, e, "doc_id", "s", "p")
+    return metrics.groundedness(supported, "chunk_id")
+
+
+@query()
+def mmr_answers(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "probe_queries").select("query_id", "query")
+    evidence = materialise(_bm25(spark, d, 10).join(_chunks(spark, d).select("chunk_id", "text"), "chunk_id").select("query_id", "chunk_id", "rank", "text"), "evidence")
+    return answers.answers(q, evidence)
+
+
+@query()
+def rerank_logistic(spark: SparkSession, d: str) -> DataFrame:
+    """Judged queries: BM25 candidates, a model trained on half of the queries, the other half's hits reranked."""
+    qrels = table(spark, d, "qrels").select("query_id", "query").distinct().where("query is not null")
+    chunks = _chunks(spark, d)
+    hits = lexical.bm25_scores(qrels, chunks, "query_id", "query", "chunk_id", lexical.indexed_text(F.col("section_heading"), F.col("text")))
+    hits = lexical.top_k(hits, "query_id", "score", "chunk_id", 30).withColumn("lexical_score", F.col("score")).withColumn("dense_score", F.lit(0.0))
+    rel = qrels_resolve(spark, d).withColumn("label", F.lit(1))
+    rows = hits.join(chunks, "chunk_id").join(qrels, "query_id").join(rel, ["query_id", "chunk_id"], "left").fillna(0, ["label"])
+    rows = materialise(rerank.features(rows), "features")
+    half = F.pmod(F.xxhash64("query_id"), F.lit(2)) == 0
+    model = rerank.fit(rows.where(half))
+    return rerank.rerank(model, rows.where(~half), "query_id", "chunk_id", 10).select("query_id", "chunk_id", F.col("rank").cast("int").alias("rank"), "label", "rerank_score")
+
+
+@query()
+def answer_probe_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The whole path for the standing queries: plan, term search, scope, merge, answer."""
+    settings = Settings().with_overrides({"reranking.enabled": False})
+    index = search.build_index(_described(spark, d), settings, with_vectors=False)
+    return search.answer(index, table(spark, d, "probe_queries").select("query_id", "query"), settings)
+
+
+# ---------------------------------------------------------------- plans
+
+
+@query(f"""WITH q AS (SELECT DISTINCT query FROM query_log WHERE query IS NOT NULL), t AS (SELECT query, list_distinct({sql.tokens('query', True)}) AS t FROM q),
+c AS (SELECT query, len(list_intersect(t, {sql.stems(repr(V.FINANCIAL))})) AS f, len(list_intersect(t, {sql.stems(repr(V.BIOMEDICAL))})) AS b FROM t)
+SELECT query, CASE WHEN f > b AND f > 0 THEN 'financial_lookup' WHEN b > 0 THEN 'biomedical_search' ELSE 'document_search' END AS tool FROM c""")
+def plan_route(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "query_log").select("query").where("query is not null").distinct()
+    return q.select("query", planning.route(F.col("query")).alias("tool"))
+
+
+@query()
+def plan_queries(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "query_log").select("query").where("query is not null").distinct()
+    return planning.plans(q.withColumn("text", F.col("query")), "query", "text")
+
+
+# ---------------------------------------------------------------- tables
+
+
+@query("""SELECT cik, concept, fiscal_year, unit, fact_id, value, end_date FROM financial_facts WHERE form LIKE '10-K%' AND fiscal_year IS NOT NULL AND fiscal_period = 'FY'
+QUALIFY row_number() OVER (PARTITION BY cik, concept, fiscal_year ORDER BY coalesce(end_date, '') DESC, accession_number DESC NULLS LAST, fact_id DESC) = 1""")
+def facts_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return store.annual_facts(table(spark, d, "financial_facts")).select("cik", "concept", "fiscal_year", "unit", "fact_id", "value", "end_date")
+
+
+@query("""SELECT cik, concept, fiscal_year, unit, fact_id FROM (SELECT DISTINCT cik, concept, fiscal_year, unit, fact_id FROM financial_facts WHERE fiscal_year IS NOT NULL AND concept IN ('Revenues', 'Assets'))
+ORDER BY fiscal_year DESC, concept, cik, unit, fact_id LIMIT 25""")
+def facts_lookup(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "financial_facts").where("fiscal_year is not null").select("cik", "concept", "fiscal_year", "unit", "fact_id").distinct()
+    return store.lookup_facts(f, concepts=["Revenues", "Assets"], tie=["cik", "unit", "fact_id"])
+
+
+@query("""WITH b AS (SELECT * FROM financial_facts WHERE received_at >= TIMESTAMP '2019-01-01' QUALIFY row_number() OVER (PARTITION BY cik, concept, fiscal_year, unit ORDER BY received_at DESC, fact_id DESC) = 1),
+t AS (SELECT * FROM financial_facts WHERE received_at < TIMESTAMP '2019-01-01')
+SELECT cik, concept, fiscal_year, unit, fact_id, received_at FROM t WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.cik = t.cik AND b.concept = t.concept AND b.fiscal_year = t.fiscal_year AND b.unit = t.unit)
+UNION ALL SELECT cik, concept, fiscal_year, unit, fact_id, received_at FROM b""")
+def upsert_facts(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "financial_facts")
+    out = store.upsert(f.where("received_at < timestamp_ntz '2019-01-01 00:00:00'"), f.where("received_at >= timestamp_ntz '2019-01-01 00:00:00'"), store.KEYS["financial_facts"], "received_at", "fact_id")
+    return out.select("cik", "concept", "fiscal_year", "unit", "fact_id", "received_at")
+
+
+@query("SELECT DISTINCT chunk_id, doc_id FROM chunks c WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM deletions WHERE doc_id IS NOT NULL)")
+def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
+    gone = table(spark, d, "deletions").where("doc_id is not null").select("doc_id").distinct()
+    return table(spark, d, "chunks").select("chunk_id", "doc_id").join(gone, "doc_id", "left_anti").distinct().select("chunk_id", "doc_id")
+
+
+@query("SELECT query_id, query, created_at FROM (SELECT DISTINCT query_id, query, created_at FROM query_log) ORDER BY created_at DESC, query_id LIMIT 20")
+def recent_queries(spark: SparkSession, d: str) -> DataFrame:
+    return store.recent_queries(table(spark, d, "query_log").select("query_id", "query", "created_at").distinct())
+
+
+@query("SELECT source_type, lang, count(*) AS documents, sum(n_chars) AS n_chars FROM documents GROUP BY ROLLUP (source_type, lang)")
+def corpus_counts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").rollup("source_type", "lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("n_chars"))
+
+
+@query("""WITH q AS (SELECT DISTINCT ON (query_id) created_at, groundedness, latency_ms FROM query_log WHERE NOT isnan(groundedness) AND NOT isnan(latency_ms)),
+w AS (SELECT *, unnest([time_bucket(INTERVAL 5 MINUTES, created_at), time_bucket(INTERVAL 5 MINUTES, created_at) - INTERVAL 5 MINUTES]) AS window_start FROM q)
+SELECT window_start, window_start + INTERVAL 10 MINUTES AS window_end, count(*) AS queries, round(avg(groundedness), 6) AS mean_groundedness, round(avg(latency_ms), 6) AS mean_latency FROM w GROUP BY window_start""")
+def query_log_windows(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "query_log").where("groundedness is not null and latency_ms is not null and not isnan(groundedness) and not isnan(latency_ms)").select("query_id", "created_at", "groundedness", "latency_ms").dropDuplicates(["query_id"])
+    w = monitor.log_windows(q)
+    return w.select("window_start", "window_end", "queries", F.round("mean_groundedness", 6).alias("mean_groundedness"), F.round("mean_latency", 6).alias("mean_latency"))
+
+
+# ---------------------------------------------------------------- references
+
+
+def _orphans(spark: SparkSession, d: str) -> DataFrame:
+    return references.orphan_references(*(table(spark, d, t) for t in ("chunks", "qrels", "documents", "deletions")))
+
+
+_P1 = """
 WITH s AS (
   SELECT d.doc_id, source_file, ingested_at, section_headings, coalesce(x.last_deleted >= d.ingested_at, false) AS gone
   FROM documents d LEFT JOIN (SELECT doc_id, max(deleted_at) AS last_deleted FROM deletions WHERE doc_id IS NOT NULL GROUP BY 1) x USING (doc_id)
@@ -44,8 +527,12 @@ UNION ALL SELECT DISTINCT 'qrels', strftime(judged_at, '%Y-%m'), query_id, docum
   WHERE section IS NOT NULL AND NOT coalesce(list_contains(section_headings, section), false)
 """
 
-CORE: dict[str, Query] = {"p1_found": p1_found, "p1_report": p1_report}
-CORE_SQL: dict[str, str] = {
-    "p1_found": P1_SQL,
-    "p1_report": f"SELECT ref_table, period, count(*) AS n_orphans, count(DISTINCT ref_id) AS n_referring FROM ({P1_SQL}) GROUP BY 1, 2",
-}
+
+@query(_P1)
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _orphans(spark, d)
+
+
+@query(f"SELECT ref_table, period, count(*) AS n_orphans, count(DISTINCT ref_id) AS n_referring FROM ({_P1}) GROUP BY 1, 2")
+def p1_report(spark: SparkSession, d: str) -> DataFrame:
+    return references.orphan_report(_orphans(spark, d))

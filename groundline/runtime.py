@@ -40,12 +40,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once a session, for those that don't have it on their path."""
+    """Send this package to the Python workers once a session, for those that don't have it on their path."""
     import os
     import zipfile
 
     context = spark.sparkContext
-    if context.master.startswith("local[") or getattr(context, "_groundline_shipped", False):
+    if getattr(context, "_groundline_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     target = os.path.join(tempfile.mkdtemp(prefix="groundline-pkg-"), "groundline.zip")
