@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundline.runtime import broadcast_if_small
+
 #: Buckets of the rank histogram of one source of one mix; only the bucket that holds the goal is sorted.
 BUCKETS = 4096
 
@@ -75,7 +77,9 @@ def mix_sources(sized: DataFrame, targets: DataFrame, seed: int = 20260101, buck
     weights = docs.groupBy("source", "w").agg(F.sum("n_tokens").alias("w_tokens"))
     goal = goals(targets, sizes)
     plan = inclusion(goal, weights).select("mix_name", "source", "repeats", "copies", "rest", "factor")
-    d = docs.join(plan, "source")
+    # one row for each target at most, so the number of targets bounds what is broadcast, and no source is shuffled as one
+    bound = targets.count()
+    d = docs.join(broadcast_if_small(plan, bound, 128), "source")
     p = F.least(F.col("factor") * F.col("w"), F.lit(1.0))
     u = uniform(seed, F.col("mix_name"), F.col("doc_id"))
     # Pareto rank: odds of u over odds of p; 0 for certain inclusion, null where the source has no rest to fill
@@ -86,7 +90,7 @@ def mix_sources(sized: DataFrame, targets: DataFrame, seed: int = 20260101, buck
     run = Window.partitionBy("mix_name", "source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     hist = hist.withColumn("before", F.coalesce(F.sum("t").over(run), F.lit(0))).join(plan.select("mix_name", "source", "rest"), ["mix_name", "source"])
     edge = hist.where("before < rest and before + t >= rest").select("mix_name", "source", F.col("bucket").alias("edge"), F.col("before").alias("edge_before"))
-    d = d.join(edge, ["mix_name", "source"], "left")
+    d = d.join(broadcast_if_small(edge, bound, 96), ["mix_name", "source"], "left")
     # only the documents of the edge bucket are put in order; the prefix ends where it is nearest to the goal
     at_edge = d.where("bucket = edge").withColumn("cum", F.sum("n_tokens").over(Window.partitionBy("mix_name", "source").orderBy("q", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) + F.col("edge_before"))
     taken = (F.abs(F.col("cum") - F.col("rest")) <= F.abs(F.col("cum") - F.col("n_tokens") - F.col("rest"))) & (F.col("cum") - F.col("n_tokens") < F.col("rest"))
