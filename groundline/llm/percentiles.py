@@ -40,7 +40,7 @@ def _block_batches(limit: int):
         keys = t.select(names).take(pa.array(order[starts])).combine_chunks()
         values = pa.ListArray.from_arrays(pa.array(np.r_[starts, len(g)], pa.int32()), pa.array(v))
         arrays = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in keys.columns]
-        return pa.RecordBatch.from_arrays([*arrays, pa.array(ends - starts, pa.int64()), values], [*names, "n", "v"])
+        return pa.RecordBatch.from_arrays([*arrays, pa.array(ends - starts, pa.int64()), values], [*names, "n_values", "sorted_values"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -58,14 +58,15 @@ def _block_batches(limit: int):
 
 
 def sorted_blocks(values: DataFrame, by: list[str], value: str, block_values: int = BLOCK_VALUES) -> DataFrame:
-    """Blocks of every group: by, n, v (sorted array<double>).
+    """Blocks of every group: by, n_values, sorted_values (array<double>).
 
     Null and NaN values are passed over; null group keys are a group of their own; no shuffle takes place. An empty
     table gives no blocks.
     """
-    rows = values.select(*by, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    v = F.col(value).cast("double")
+    rows = values.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("value__"))
     keys = ", ".join(f"`{c}` {values.schema[c].dataType.simpleString()}" for c in by)
-    return rows.mapInArrow(_block_batches(block_values), f"{keys}, n bigint, v array<double>")
+    return rows.mapInArrow(_block_batches(block_values), f"{keys}, n_values bigint, sorted_values array<double>")
 
 
 def _rows(batches: Iterator[pa.RecordBatch], work, names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
@@ -125,6 +126,8 @@ def select_percentiles(blocks: DataFrame, by: list[str], ps: list[float], finish
     ``blocks`` come from sorted_blocks and are read from a table; groups without values give no row. Ties are values
     like any other; infinite values order as numbers.
     """
+    names, by = by, [f"by{i}" for i in range(len(by))]
+    blocks = blocks.select(*[F.col(c).alias(b) for c, b in zip(names, by, strict=True)], F.col("n_values").alias("n"), F.col("sorted_values").alias("v"))
     sizes = blocks.groupBy(*by).agg(F.sum("n").alias("n"))
     wanted = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("n") - 1e-9)).cast("bigint").alias("k")) for p in ps]))
     state = sizes.select(*by, "n", wanted.alias("w")).select(*by, "n", "w.p", "w.k")
@@ -147,8 +150,9 @@ def select_percentiles(blocks: DataFrame, by: list[str], ps: list[float], finish
         if not open_.head(1):
             break
         proposals = joined(open_, "lo", "hi").select("sid", "lo", "hi", "v").mapInArrow(_propose, "sid bigint, median double, weight bigint")
-        # a weighted median between two proposals may be no value itself; the counts then rule out one side of it
-        pivots = proposals.groupBy("sid", "median").agg(F.sum("weight").alias("weight")).groupBy("sid").agg(F.expr("percentile(median, 0.5, weight)").alias("pivot"))
+        # a weighted median between two proposals may be no value itself; the counts then rule out one side of it;
+        # between the two infinities it is zero
+        pivots = proposals.groupBy("sid", "median").agg(F.sum("weight").alias("weight")).groupBy("sid").agg(F.expr("nanvl(percentile(median, 0.5, weight), 0.0)").alias("pivot"))
         asked = open_.join(pivots, "sid")
         counts = joined(asked, "pivot").select("sid", "pivot", "v").mapInArrow(_count, "sid bigint, below bigint, equal bigint")
         counts = counts.groupBy("sid").agg(F.sum("below").alias("below"), F.sum("equal").alias("equal"))
@@ -167,4 +171,4 @@ def select_percentiles(blocks: DataFrame, by: list[str], ps: list[float], finish
     rest = rest.groupBy("sid").agg(F.array_sort(F.flatten(F.collect_list("left"))).alias("few"))
     done = state.join(rest, "sid", "left")
     value = F.coalesce("value", F.expr("try_element_at(few, cast(k - under as int))"))
-    return done.select(*by, "p", "n", value.alias("value"))
+    return done.select(*[F.col(b).alias(c) for c, b in zip(names, by, strict=True)], "p", "n", value.alias("value"))

@@ -98,7 +98,7 @@ def test_percentiles_like_sorting(spark, finish):
     df = spark.createDataFrame([(*r, 5, 0.1) for r in rows], "s string, k string, v double, n int, p double").repartition(4)
     blocks = P.sorted_blocks(df, ["s", "k"], "v", block_values=100)
     ps = [0.0, 0.1, 0.5, 0.95, 1.0]
-    got = {(r.s, r.k, r.p): (r.n, r.value) for r in P.select_percentiles(blocks, ["s", "k"], ps, finish=finish).collect()}
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in P.select_percentiles(blocks, ["s", "k"], ps, finish=finish).collect()}
     want = {}
     for key in {(s, k) for s, k, _ in rows}:
         vs = [v for s, k, v in rows if (s, k) == key and v is not None and not math.isnan(v)]
