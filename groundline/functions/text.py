@@ -12,15 +12,36 @@ from pyspark.sql.types import StringType
 from groundline.functions import vocabulary as V
 
 
-def _literals(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words])
+def _quoted(words) -> str:
+    return ", ".join("'" + w + "'" for w in words)
+
+
+# Lambdas as SQL text: one parsed expression each, instead of a call into the JVM for every node of the tree.
+_SPOKEN = f"w -> w NOT IN ({_quoted(V.STOPWORDS)})"
+_IRREGULAR = f"map({_quoted(x for pair in V.IRREGULAR.items() for x in pair)})"
+_WITHOUT_PLURAL = f"""w -> CASE WHEN length(w) <= 3 OR NOT w RLIKE '^[a-z]+$' THEN w ELSE coalesce(try_element_at({_IRREGULAR}, w),
+    CASE WHEN endswith(w, 'ies') AND length(w) > 4 THEN concat(substring(w, 1, length(w) - 3), 'y')
+         WHEN endswith(w, 'sses') OR (length(w) > 4 AND w RLIKE '(?:ch|sh|x|z|s)es$') THEN substring(w, 1, length(w) - 2)
+         WHEN endswith(w, 's') AND NOT w RLIKE '(?:sis|ss|us|is|ies)$' THEN substring(w, 1, length(w) - 1)
+         ELSE w END) END"""
+
+
+def _cut(ending: str, silent: str) -> str:
+    """The word without an ending, a doubled consonant made single, a silent e put back."""
+    return rf"regexp_replace(regexp_replace(regexp_replace(w, '{ending}$', ''), r'([bdfglmnprt])\1$', '$1'), '({silent})$', '$1e')"
+
+
+_WITHOUT_INFLECTION = f"""w -> CASE
+    WHEN endswith(w, 'ing') AND length(w) > 5 AND w RLIKE '^[a-z]*[aeiouy][a-z]*ing$' THEN {_cut("ing", "at|iz|bl|us|iv")}
+    WHEN endswith(w, 'ed') AND length(w) > 4 AND w RLIKE '^[a-z]*[aeiouy][a-z]*ed$' THEN {_cut("ed", "at|iz|bl|us|iv|s|c")}
+    ELSE w END"""
 
 
 def tokens(text: Column, drop_stopwords: bool = False, stemming: bool = False) -> Column:
     """Lower-case word tokens in order; null text has none."""
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(V.TOKEN), F.lit(0))
     if drop_stopwords:
-        found = F.filter(found, lambda w: ~w.isin(*V.STOPWORDS))
+        found = F.call_function("filter", found, F.expr(_SPOKEN))
     return stems(found) if stemming else found
 
 
@@ -29,31 +50,6 @@ def content_tokens(text: Column) -> Column:
     return tokens(text, drop_stopwords=True, stemming=True)
 
 
-def _without_plural(w: Column) -> Column:
-    n = F.length(w)
-    regular = (
-        F.when(w.endswith("ies") & (n > 4), F.concat(w.substr(F.lit(1), n - 3), F.lit("y")))
-        .when(w.endswith("sses") | (w.rlike("(?:ch|sh|x|z|s)es$") & (n > 4)), w.substr(F.lit(1), n - 2))
-        .when(w.endswith("s") & ~w.rlike("(?:sis|ss|us|is|ies)$"), w.substr(F.lit(1), n - 1))
-        .otherwise(w)
-    )
-    irregular = F.create_map(*[F.lit(x) for pair in V.IRREGULAR.items() for x in pair])
-    return F.when((n <= 3) | ~w.rlike("^[a-z]+$"), w).otherwise(F.coalesce(F.try_element_at(irregular, w), regular))
-
-
-def _without_inflection(w: Column) -> Column:
-    double, n = r"([bdfglmnprt])\1$", F.length(w)
-
-    def cut(ending: str, silent: str) -> Column:
-        return F.regexp_replace(F.regexp_replace(F.regexp_replace(w, f"{ending}$", ""), double, "$1"), f"({silent})$", "$1e")
-
-    return (
-        F.when(w.endswith("ing") & (n > 5) & w.rlike("^[a-z]*[aeiouy][a-z]*ing$"), cut("ing", "at|iz|bl|us|iv"))
-        .when(w.endswith("ed") & (n > 4) & w.rlike("^[a-z]*[aeiouy][a-z]*ed$"), cut("ed", "at|iz|bl|us|iv|s|c"))
-        .otherwise(w)
-    )
-
-
 def stem(word: Column) -> Column:
     """Inflectional stem of one word."""
     return F.element_at(stems(F.array(word)), 1)
@@ -61,7 +57,7 @@ def stem(word: Column) -> Column:
 
 def stems(words: Column) -> Column:
     """Stems of an array of words: irregular words and plurals first, then verb endings."""
-    return F.transform(F.transform(words, _without_plural), _without_inflection)
+    return F.call_function("transform", F.call_function("transform", words, F.expr(_WITHOUT_PLURAL)), F.expr(_WITHOUT_INFLECTION))
 
 
 @F.pandas_udf(StringType())

@@ -59,6 +59,22 @@ def parse_articles(payloads: DataFrame, xml: str) -> DataFrame:
     )
 
 
+# The public interface's address and the number of records of one request.
+EUTILS, RECORDS = "https://eutils.ncbi.nlm.nih.gov/entrez/eutils", 100
+
+
+def search_url(query: str, most: int, email: str, first_year: int | None = None, last_year: int | None = None) -> str:
+    from urllib.parse import urlencode
+
+    dates = {"datetype": "pdat", "mindate": first_year, "maxdate": last_year} if first_year and last_year else {}
+    return f"{EUTILS}/esearch.fcgi?" + urlencode({"db": "pubmed", "term": query, "retmax": most, "retmode": "json", "sort": "relevance", "email": email, **dates})
+
+
+def fetch_urls(ids: list[str], email: str) -> list[str]:
+    """Addresses of the records, a hundred to a request, for the paged source."""
+    return [f"{EUTILS}/efetch.fcgi?db=pubmed&retmode=xml&email={email}&id={','.join(ids[i : i + RECORDS])}" for i in range(0, len(ids), RECORDS)]
+
+
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """Recorded payloads, one whole file a row: path, payload."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))

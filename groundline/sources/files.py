@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundline.config import AcquisitionError
 from groundline.functions import text as T
 from groundline.operators.chunking import markdown_sections
 from groundline.sources.html import page_text
@@ -110,6 +111,13 @@ def read_directory(spark: SparkSession, folder: str, recursive: bool = True, pdf
     return docs, parsed.where("error is not null").select("path", "error")
 
 
+def require_documents(docs: DataFrame, folder: str) -> DataFrame:
+    """The documents, or an error where there are none."""
+    if not docs.head(1):
+        raise AcquisitionError(f"no supported documents under {folder}")
+    return docs
+
+
 def enriched(docs: DataFrame) -> DataFrame:
     """Metadata that the source did not give, inferred from the first 4000 characters, by source type."""
     from groundline.functions import vocabulary as V

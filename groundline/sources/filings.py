@@ -40,7 +40,7 @@ def ticker_to_cik(tickers: DataFrame, wanted: DataFrame) -> DataFrame:
 def list_filings(submissions: DataFrame, forms: list[str], limit: int | None = None) -> DataFrame:
     """Column-oriented arrays as rows, of the given forms, the first ``limit`` of each company in file order."""
     r = F.col("filings.recent")
-    rows = submissions.select("cik", "name", "tickers", F.posexplode(F.arrays_zip(*[r[c].alias(c) for c in ("accessionNumber", "form", "filingDate", "reportDate", "primaryDocument")])).alias("pos", "f"))
+    rows = submissions.select("cik", "name", "tickers", F.posexplode(F.arrays_zip(*[F.coalesce(r[c], F.array().cast("array<string>")).alias(c) for c in ("accessionNumber", "form", "filingDate", "reportDate", "primaryDocument")])).alias("pos", "f"))
     rows = rows.where(F.upper("f.form").isin(*[f.upper() for f in forms]))
     if limit is not None:
         rows = rows.withColumn("r", F.row_number().over(Window.partitionBy("cik").orderBy("pos"))).where(F.col("r") <= limit)

@@ -138,8 +138,8 @@ def test_filings(spark, tmp_path):
     f = filings.list_filings(filings.read_submissions(spark, str(tmp_path / "s.json")), ["10-K"])
     rows = f.orderBy("pos").collect()
     assert [r.accession_number[-1] for r in rows] == ["1", "9"] and rows[0].document_url.endswith("/1234/000000123424000001/a.htm")
-    d = filings.build_documents(f.withColumn("body", F.lit("Item 1. Business\nWe make.\nITEM 1A\nRisk.")), "body").first()
-    assert d.fiscal_year in (2024, 2023) and [(s.heading, s.text) for s in d.sections] == [("Item 1. Business", "We make."), ("Item 1A. Risk Factors", "Risk.")]
+    d = filings.build_documents(f.withColumn("body", F.lit("Item 1. Business\nWe make.\nITEM 1A\n" + "Risk " * 40)), "body").first()
+    assert d.fiscal_year in (2024, 2023) and [(s.heading, s.text) for s in d.sections] == [("Item 1. Business", "We make."), ("Item 1A. Risk Factors", ("Risk " * 40).strip())]
     assert filings.build_documents(f.withColumn("body", F.lit("none")), "body").first().sections[0].heading == "Full Text"
     entry = lambda fy, val, end, form="10-K", fp="FY": {"form": form, "fy": fy, "fp": fp, "val": val, "end": end, "accn": "a"}
     facts = {"cik": 1234, "entityName": "Acme", "facts": {"us-gaap": {"Revenues": {"units": {"USD": [entry(2024, 5.5e9, "2024-06-30"), entry(2024, 5.6e9, "2024-12-31"), entry(2023, 5.2e9, "2023-12-31"), entry(2024, 1.0, "2025-01-01", "10-Q")]}}, "NetIncomeLoss": {"units": {"USD": [entry(2024, 4.1e8, "2024-12-31")]}}, "Other": {"units": {"USD": [entry(2024, 1.0, "2024-12-31")]}}}}}
@@ -301,3 +301,39 @@ def test_labels(spark):
 
 def test_token_helpers(spark):
     assert spark.range(1).select(F.size(T.words(F.lit("a b")))).first()[0] == 2
+
+
+def test_evaluation_and_saved_index(spark, tmp_path):
+    from groundline.operators import rerank
+    from groundline.plans import evaluate
+
+    texts = ["turbine margin fell in the northern plant this year", "chargeback losses fell at every branch of the bank", "placebo patients reached the trial endpoint late", "wind output grew with new turbine towers offshore"]
+    chunks = spark.createDataFrame([(f"c{i}", i, t, "Head", "user_document", None, None, None, None, "0000000007" if i == 0 else None) for i, t in enumerate(texts)], "chunk_id string, doc_id int, text string, section_heading string, source_type string, company_name string, title string, ticker string, journal string, cik string")
+    s = Settings().with_overrides({"reranking.enabled": False, "evaluation.token_budget": 10})
+    index = search.build_index(chunks, s)
+    judged = spark.createDataFrame([("a", "turbine margin 2021", "single_hop"), ("b", "trial endpoint", "other")], "query_id string, query string, type string")
+    relevant = spark.createDataFrame([("a", "c0"), ("b", "c2")], "query_id string, chunk_id string")
+    per_query = evaluate.evaluate_retrieval(index, judged, relevant, s)
+    out = evaluate.compare(s, lambda x: evaluate.evaluate_retrieval(index, judged, relevant, x), {"default": {}, "lexical_only": evaluate.VARIANTS["lexical_only"]})
+    assert per_query.count() == 2 and out["default"]["metrics"]["recall_at_1"] == 1.0 and set(out["default"]["by_query_type"]) == {"single_hop", "other"}
+    assert "| lexical_only | 1.000" in evaluate.markdown_table(out, ["reciprocal_rank", "nothing"])
+    index.model = rerank.fit(evaluate.training_rows(index, judged.select("query_id", "query"), relevant, s))
+    search.save_index(index, str(tmp_path / "i"))
+    again = search.load_index(spark, str(tmp_path / "i"))
+    hits = search.search(again, judged.select(F.col("query_id").alias("qid"), "query"), Settings(), 2)
+    assert {r.chunk_id for r in hits.where("rank = 1").collect()} == {"c0", "c2"}
+    facts = spark.createDataFrame([("0000000007", "Revenues", 2021, "USD", 1.0), ("0000000007", "Revenues", 2020, "USD", 2.0)], "cik string, concept string, fiscal_year int, unit string, value double")
+    got = search.structured_facts(hits.withColumnRenamed("qid", "query_id").drop("query"), judged.select("query_id", "query"), facts)
+    assert ("a", 1.0) in {(r.query_id, r.value) for r in got.collect()} and len(evaluate.sweep_settings(s)) == 12
+    targets = spark.createDataFrame([("z", 0, "f", [])], "query_id string, target int, document string, sections array<string>")
+    with pytest.raises(Exception, match="match no chunk"):
+        evaluate.checked_relevance(targets, spark.createDataFrame([], "chunk_id string, document string, section_heading string, char_start int, char_end int"), spark.createDataFrame([], "document string, heading string, start int, end int"))
+    assert "response" in search.responses(judged).columns
+    assert len(abstracts.fetch_urls([str(i) for i in range(250)], "a@b.example")) == 3
+
+
+def test_tables(spark):
+    store.create_tables(spark, "groundline_test")
+    assert spark.table("groundline_test.chunks").count() == 0
+    store.drop_tables(spark, "groundline_test")
+    spark.sql("DROP DATABASE groundline_test")
