@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundline.runtime import broadcast_if_small, materialise
+
 #: Keys per block of the key space; a block holds at most so many parents and distinct references.
 BLOCK_KEYS = 1 << 16
 #: References to one parent beyond which its rows are spread over several tasks.
@@ -54,6 +56,22 @@ def month(at: str | Column) -> Column:
     return F.date_format(at, "yyyy-MM")
 
 
+def spread_join(refs: DataFrame, parents: DataFrame, key: str, counts: DataFrame, hot: int, by: Column, how: str = "inner") -> DataFrame:
+    """Join of references to parents on ``key``; a key with more than ``hot`` references spreads over several tasks.
+
+    ``counts``: key, n_refs. Rows of a hot key get one of as many salts as their number needs (chosen by ``by``), and
+    the key's parent is copied for each salt. Without hot keys it is a plain join.
+    """
+    hot_keys = counts.where(F.col("n_refs") > hot).select(key, F.ceil(F.col("n_refs") / F.lit(hot)).cast("int").alias("salts"))
+    n_hot = hot_keys.count()
+    if not n_hot:
+        return refs.join(parents, key, how)
+    hot_keys = broadcast_if_small(hot_keys, n_hot, 64)
+    salted = refs.join(hot_keys, key, "left").withColumn("salt", F.pmod(by, F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    copies = parents.join(hot_keys, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return salted.join(copies, [key, "salt"], how).drop("salt")
+
+
 def orphan_chunks(chunks: DataFrame, documents: DataFrame, deletions: DataFrame, block_keys: int = BLOCK_KEYS, hot: int = HOT_REFERENCES) -> DataFrame:
     """Chunk references that do not hold: ref_table, period, ref_id, doc_key, section.
 
@@ -71,21 +89,16 @@ def orphan_chunks(chunks: DataFrame, documents: DataFrame, deletions: DataFrame,
     absent = absent.select("doc_id", F.lit(None).cast("timestamp_ntz").alias("holds_from"))
     late = by_key.join(live, "doc_id").where("first_at < ingested_at").select("doc_id", F.col("ingested_at").cast("timestamp_ntz").alias("holds_from"))
     bad = absent.unionByName(late).join(by_key.select("doc_id", "n_refs"), "doc_id")
-    # salts: a hot parent is copied as often as its references need tasks; all others once
-    spread = bad.withColumn("salts", F.greatest(F.lit(1), F.ceil(F.col("n_refs") / F.lit(hot))).cast("int"))
-    most = 1 << 20
-    slot = F.pmod(F.xxhash64("chunk_id", "created_at"), F.lit(most))
-    salted_refs = refs.join(spread.where("salts > 1").select("doc_id", F.col("salts").alias("salts_of")), "doc_id", "left")
-    salted_refs = salted_refs.withColumn("salt", F.coalesce(F.pmod(slot, F.col("salts_of")), F.lit(0)).cast("int")).drop("salts_of")
-    copies = spread.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).select("doc_id", "salt", "holds_from")
-    cases = salted_refs.join(copies, ["doc_id", "salt"]).where("holds_from is null or created_at < holds_from")
+    bad = materialise(bad, "bad-keys")
+    cases = spread_join(refs, bad.select("doc_id", "holds_from"), "doc_id", bad.select("doc_id", "n_refs"), hot, F.xxhash64("chunk_id", "created_at"))
+    cases = cases.where("holds_from is null or created_at < holds_from")
     return cases.select(
         F.lit("chunks").alias("ref_table"), month("created_at").alias("period"), F.col("chunk_id").alias("ref_id"),
         F.col("doc_id").cast("string").alias("doc_key"), F.lit("").alias("section"),
     ).distinct()
 
 
-def orphan_judgements(qrels: DataFrame, documents: DataFrame, deletions: DataFrame) -> DataFrame:
+def orphan_judgements(qrels: DataFrame, documents: DataFrame, deletions: DataFrame, hot: int = HOT_REFERENCES) -> DataFrame:
     """Judgement references that do not hold, documents and sections, in the columns of orphan_chunks.
 
     Documents are named by ``source_file``; text keys have no runs, so they are matched by equality, exact in
@@ -96,7 +109,8 @@ def orphan_judgements(qrels: DataFrame, documents: DataFrame, deletions: DataFra
     targets = targets.where("document is not null")
     named = parent_state(documents, deletions, "source_file", "section_headings").where("source_file is not null")
     named = named.withColumnRenamed("source_file", "document").withColumnRenamed("doc_id", "found_id")
-    met = targets.join(named, "document", "left")
+    counts = targets.groupBy("document").agg(F.count(F.lit(1)).alias("n_refs"))
+    met = spread_join(targets, named, "document", counts, hot, F.xxhash64("query_id", "judged_at"), "left")
     holds = F.col("found_id").isNotNull() & F.col("live") & ~F.coalesce(F.col("ingested_at") > F.col("judged_at"), F.lit(False))
     met = met.withColumn("holds", F.coalesce(holds, F.lit(False)))
     missing = F.filter(F.coalesce("sections", F.array().cast("array<string>")), lambda s: s.isNotNull() & ~F.coalesce(F.array_contains(F.col("section_headings"), s), F.lit(False)))

@@ -75,8 +75,8 @@ def test_training_split():
 
 
 PLANS = {
-    "Compare Northwind Energy revenue in 2023 versus 2024": ("temporal_comparison", ["Northwind Energy revenue in 2023", "Northwind Energy revenue in 2024"], "Northwind Energy", "financial_lookup"),
-    "Compare Northwind Energy against Atlas Payments margin": ("entity_comparison", ["Northwind Energy margin", "Atlas Payments margin"], None, "financial_lookup"),
+    "Compare Bluefern Energy revenue in 2023 versus 2024": ("temporal_comparison", ["Bluefern Energy revenue in 2023", "Bluefern Energy revenue in 2024"], "Bluefern Energy", "financial_lookup"),
+    "Compare Bluefern Energy against Corvane Payments margin": ("entity_comparison", ["Bluefern Energy margin", "Corvane Payments margin"], None, "financial_lookup"),
     "What is the trial endpoint and how many patients enrolled?": ("conjunction", ["What is the trial endpoint?", "how many patients enrolled?"], None, "biomedical_search"),
     "Who approves access?": ("single_hop", ["Who approves access?"], None, "document_search"),
 }
@@ -90,7 +90,7 @@ def test_plans(spark):
         assert [r.sub_query for r in mine] == subs and {r.strategy for r in mine} == {strategy} and mine[0].tool == tool
         if strategy == "entity_comparison":
             # "Energy margin" is no name: its second word is not capitalised
-            assert [r.entity for r in mine] == ["Northwind Energy", "Atlas Payments"]
+            assert [r.entity for r in mine] == ["Bluefern Energy", "Corvane Payments"]
         elif entity:
             assert {r.entity for r in mine} == {entity}
     assert planning.plans(q, "q", "t", enabled=False).count() == 4
@@ -238,7 +238,7 @@ def test_streams(spark, tmp_path):
 
 
 EVIDENCE = [
-    ("q", "c1", 1, "Northwind revenue grew nine percent in fiscal 2024. Turbine margin fell as steel costs rose sharply. Short one."),
+    ("q", "c1", 1, "Bluefern revenue grew nine percent in fiscal 2024. Turbine margin fell as steel costs rose sharply. Short one."),
     ("q", "c2", 2, "Turbine margin fell as steel costs rose sharply. Unrelated staffing notes were filed in the annex."),
     ("e", "c3", 1, "Tiny."),
 ]
@@ -267,14 +267,14 @@ def test_answers(spark):
 
 def test_whole_path(spark):
     chunks = spark.createDataFrame(
-        [("c1", 1, "Northwind Energy turbine margin fell in 2023 as steel costs rose across all plants.", "Results", "sec_filing", "Northwind Energy", "10-K", None, None, "0000000001"),
-         ("c2", 2, "Atlas Payments margin rose in 2023 because chargeback losses fell at every branch.", "Results", "sec_filing", "Atlas Payments", "10-K", None, None, "0000000002"),
+        [("c1", 1, "Bluefern Energy turbine margin fell in 2023 as steel costs rose across all plants.", "Results", "sec_filing", "Bluefern Energy", "10-K", None, None, "0000000001"),
+         ("c2", 2, "Corvane Payments margin rose in 2023 because chargeback losses fell at every branch.", "Results", "sec_filing", "Corvane Payments", "10-K", None, None, "0000000002"),
          ("c3", 3, "Patients in the trial reached the endpoint after twelve weeks of placebo treatment.", "Methods", "biomedical_abstract", None, "Trial", None, "J", None)],
         "chunk_id string, doc_id int, text string, section_heading string, source_type string, company_name string, title string, ticker string, journal string, cik string",
     )
     s = Settings()
     index = search.build_index(chunks, s)
-    qs = spark.createDataFrame([("a", "Compare Northwind Energy against Atlas Payments margin"), ("b", "Which patients reached the trial endpoint?")], "query_id string, query string")
+    qs = spark.createDataFrame([("a", "Compare Bluefern Energy against Corvane Payments margin"), ("b", "Which patients reached the trial endpoint?")], "query_id string, query string")
     found, plan = search.evidence_for(index, qs, s)
     got = {(r.query_id, r.chunk_id) for r in found.collect()}
     assert {("a", "c1"), ("a", "c2"), ("b", "c3")} <= got and ("b", "c1") not in got

@@ -56,8 +56,9 @@ def test_judgements(spark, tables):
         ("q1", DAY(3), [("a.md", ["One", "Three", None, "one"]), None, (None, ["One"])]), ("q2", DAY(3), [("b.md", ["One"])]), ("q3", DAY(6), [("b.md", ["One", "One"]), ("b.md", ["One"])]),
         ("q4", DAY(6), None), ("q5", DAY(6), [("A.md", None), ("a.md", None)]), ("q6", None, [("a.md", ["Two"])]), ("q1", DAY(3), [("a.md", ["Three"])]), ("q7", DAY(6), [("e.md", ["One"])]),
     ]
-    found = rows(R.orphan_judgements(spark.createDataFrame(q, QRELS), *tables).select("ref_id", "doc_key", "section"))
-    assert found == [("q1", "a.md", "Three"), ("q1", "a.md", "one"), ("q2", "b.md", ""), ("q3", "b.md", "One"), ("q5", "A.md", "")]
+    for hot in (R.HOT_REFERENCES, 2):
+        found = rows(R.orphan_judgements(spark.createDataFrame(q, QRELS), *tables, hot=hot).select("ref_id", "doc_key", "section"))
+        assert found == [("q1", "a.md", "Three"), ("q1", "a.md", "one"), ("q2", "b.md", ""), ("q3", "b.md", "One"), ("q5", "A.md", "")]
 
 
 def test_empty_tables(spark, tables):

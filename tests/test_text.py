@@ -33,8 +33,8 @@ def test_tokens(spark):
 
 
 def test_sentences(spark):
-    found = values(spark, T.sentences, ["Apple Inc. reported revenue. It grew 3.5 percent. J. Smith agreed.", None, "  ", "One.\nTwo! (Three) lower. four", "Inc. Next"])
-    assert found == [["Apple Inc. reported revenue.", "It grew 3.5 percent.", "J. Smith agreed."], None, [], ["One.", "Two!", "(Three) lower. four"], ["Inc. Next"]]
+    found = values(spark, T.sentences, ["Bluefern Inc. reported revenue. It grew 3.5 percent. J. Smith agreed.", None, "  ", "One.\nTwo! (Three) lower. four", "Inc. Next"])
+    assert found == [["Bluefern Inc. reported revenue.", "It grew 3.5 percent.", "J. Smith agreed."], None, [], ["One.", "Two!", "(Three) lower. four"], ["Inc. Next"]]
 
 
 def plain_normalise(text):
@@ -98,11 +98,11 @@ def test_markers(spark):
 
 
 def test_entities(spark):
-    got = values(spark, T.entities, ["Compare Northwind Energy against Atlas Payments in 2024", "Compare Northwind", "the Atlas Payments and Atlas Payments", "Versus Alpha"])
-    assert got == [["Northwind Energy", "Atlas Payments"], [], ["Atlas Payments"], []]
+    got = values(spark, T.entities, ["Compare Bluefern Energy against Corvane Payments in 2024", "Compare Bluefern", "the Corvane Payments and Corvane Payments", "Versus Alpha"])
+    assert got == [["Bluefern Energy", "Corvane Payments"], [], ["Corvane Payments"], []]
 
 
 def test_small_ones(spark):
-    assert values(spark, T.redact_url, ["postgresql://rag:secret@db:5432/x", "sqlite:///x"]) == ["postgresql://rag:***@db:5432/x", "sqlite:///x"]
+    assert values(spark, T.redact_url, ["postgresql://user:secret@host:5432/x", "sqlite:///x"]) == ["postgresql://user:***@host:5432/x", "sqlite:///x"]
     assert values(spark, T.pad_cik, ["1234567", " 12345678901 "]) == ["0001234567", "12345678901"]
     assert values(spark, T.token_count, ["a b c　d\u0085e", "", None]) == [5, 0, 0]
