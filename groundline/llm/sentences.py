@@ -159,7 +159,7 @@ def _ends(text: str, lo: int, stop: int, mark: str, tail: str, gap: str, at: int
         previous = _word(text, lo, _back(text, lo, stop - len(word)))
         if previous.lower() in KINDS and previous.islower():
             return not lower or mixed or following not in FUNCTION_WORDS
-        return mixed and previous.islower() and previous.lower() in KINDS
+        return mixed
     if low in UNITS:
         previous = _word(text, lo, _back(text, lo, stop - len(word)))
         if previous and previous[-1].isdigit():
