@@ -25,7 +25,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.similar_pairs(table(spark, d, "chunks"), "chunk_id", "text", width=3, at_least=0.6)
+    return neardup.similar_pairs(table(spark, d, "chunks", "chunk_id", "text", busy=True), "chunk_id", "text", width=3, at_least=0.6)
 
 
 def _measures(spark: SparkSession, d: str) -> DataFrame:
@@ -58,12 +58,12 @@ def p5_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokenize.encode_corpus(table(spark, d, "documents"))
+    return tokenize.encode_corpus(table(spark, d, "documents", "doc_id", "text", busy=True))
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     targets = table(spark, d, "mix_targets")
-    docs = table(spark, d, "documents").select("doc_id", "source", F.xxhash64("text").alias("copy_of"), "text").where("source is not null")
+    docs = table(spark, d, "documents", "doc_id", "source", "text", busy=True).select("doc_id", "source", F.xxhash64("text").alias("copy_of"), "text").where("source is not null")
     docs = docs.join(targets.select("source").distinct(), "source", "left_semi").select("doc_id", "source", "copy_of", "text")
     sized = materialise(tokenize.count_tokens(docs), "sizes")
     # a text that comes as several documents of a source has so much smaller odds for each of them
@@ -81,7 +81,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentence_units(table(spark, d, "documents"))
+    return sentences.sentence_units(table(spark, d, "documents", "doc_id", "text", busy=True))
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_survivors, p3_found, p4_found, p5_found, p5_percentiles, p6_ids, p7_mix, p7_shares, p8_found)}
