@@ -39,29 +39,29 @@ def query(statement: str | None = None):
 @query(f"SELECT doc_id, len({sql.tokens('text')}) AS n_tokens, len({sql.tokens('text', True)}) AS n_content, len(list_distinct({sql.tokens('text')})) AS n_distinct FROM documents")
 def tokenize_counts(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", *[F.size(c).cast("bigint").alias(n) for n, c in (("n_tokens", T.tokens(t)), ("n_content", T.content_tokens(t)), ("n_distinct", F.array_distinct(T.tokens(t))))])
+    return table(spark, d, "documents", "doc_id", "text", busy=True).select("doc_id", *[F.size(c).cast("bigint").alias(n) for n, c in (("n_tokens", T.tokens(t)), ("n_content", T.content_tokens(t)), ("n_distinct", F.array_distinct(T.tokens(t))))])
 
 
 @query(f"WITH w AS (SELECT DISTINCT unnest({sql.tokens('text')}) AS word FROM documents) SELECT word, {sql.stems('[word]')}[1] AS stem FROM w")
 def stem_vocab(spark: SparkSession, d: str) -> DataFrame:
-    words = table(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
+    words = table(spark, d, "documents", "text", busy=True).select(F.explode(T.tokens(F.col("text"))).alias("word")).distinct()
     return words.select("word", T.stem(F.col("word")).alias("stem"))
 
 
 @query()
 def sentence_stats(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "documents").where("text is not null").select("doc_id", T.sentences(F.col("text")).alias("s"))
+    s = table(spark, d, "documents", "doc_id", "text", busy=True).where("text is not null").select("doc_id", T.sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").alias("n_sentences"), F.coalesce(F.array_max(F.transform("s", lambda x: F.length(x))), F.lit(0)).alias("longest"))
 
 
 @query()
 def normalise_ws(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.normalise_whitespace(F.col("text")).alias("t")).select("doc_id", F.length("t").alias("n_chars"), F.md5(F.col("t")).alias("digest"))
+    return table(spark, d, "documents", "doc_id", "text", busy=True).select("doc_id", T.normalise_whitespace(F.col("text")).alias("t")).select("doc_id", F.length("t").alias("n_chars"), F.md5(F.col("t")).alias("digest"))
 
 
 @query()
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", T.clean_document_text(F.col("text")).alias("text"))
+    docs = table(spark, d, "documents", "doc_id", "text", busy=True).select("doc_id", T.clean_document_text(F.col("text")).alias("text"))
     return chunking.drop_boilerplate(docs, "doc_id", "text").select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
@@ -111,19 +111,19 @@ c AS (SELECT doc_id, CAST(position AS INTEGER) AS position, CASE WHEN n < 40 THE
   CASE WHEN n < 40 THEN length(text) ELSE b + list_sum(list_transform(w[s + 1:e], lambda x: length(x))) + coalesce(list_sum(g[s + 2:e]), 0) END AS char_end FROM b)
 SELECT doc_id, position, CAST(char_start AS INTEGER) AS char_start, CAST(char_end AS INTEGER) AS char_end, left(sha256(concat_ws('␟', CAST(doc_id AS VARCHAR), CAST(position AS VARCHAR), substring(t, 1, 64))), 16) AS chunk_id FROM c""")
 def fixed_window_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.fixed_windows(table(spark, d, "documents"), "doc_id", "text", 180, 40, 40).drop("text")
+    return chunking.fixed_windows(table(spark, d, "documents", "doc_id", "text", busy=True), "doc_id", "text", 180, 40, 40).drop("text")
 
 
 @query()
 def section_chunks(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", T.nfkc(F.col("text")).alias("nf"))
+    docs = table(spark, d, "documents", "doc_id", "text", busy=True).select("doc_id", T.nfkc(F.col("text")).alias("nf"))
     docs = docs.select("doc_id", T.collapsed(F.col("nf")).alias("text"), chunking.markdown_sections(F.col("nf")).alias("sections"))
     return chunking.section_windows(docs, "doc_id", "text", "sections").select("doc_id", "position", "section_heading", "char_start", "char_end", "chunk_id", T.token_count(F.col("text")).alias("tokens"))
 
 
 @query()
 def item_sections(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("source_type = 'sec_filing' and text is not null").select("doc_id", split_items(F.regexp_replace("text", r"(?m)^#+ *", "")).alias("s"))
+    docs = table(spark, d, "documents", "doc_id", "source_type", "text", busy=True).where("source_type = 'sec_filing' and text is not null").select("doc_id", split_items(F.regexp_replace("text", r"(?m)^#+ *", "")).alias("s"))
     return docs.select("doc_id", F.explode("s").alias("s")).select("doc_id", "s.heading", "s.order", F.length("s.text").alias("n_chars"))
 
 
@@ -374,8 +374,8 @@ _TRUNCATED = "CASE WHEN length(k.text) > 240 THEN regexp_replace(left(k.text, 23
 s AS (SELECT *, CASE WHEN resolvable THEN {sql.containment('q', 't')} ELSE 0.0 END AS s FROM j)
 SELECT chunk_id, doc_id, resolvable, round(s, 9) AS support_score, resolvable AND s >= 0.35 AS verified FROM s""")
 def citation_check(spark: SparkSession, d: str) -> DataFrame:
-    k = table(spark, d, "chunks").select("chunk_id", "doc_id", T.truncate(F.col("text"), 240).alias("quote"), "text").distinct().select("chunk_id", "doc_id", "quote")
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("text"))
+    k = table(spark, d, "chunks", "chunk_id", "doc_id", "text", busy=True).select("chunk_id", "doc_id", T.truncate(F.col("text"), 240).alias("quote"), "text").distinct().select("chunk_id", "doc_id", "quote")
+    docs = table(spark, d, "documents", "doc_id", "text", busy=True).select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("text"))
     cited = k.select(F.col("doc_id").alias("query_id"), F.col("chunk_id").alias("cited"), F.col("doc_id").alias("chunk_id"), "quote")
     v = answers.verify(cited, docs.withColumn("text", F.coalesce("text", F.lit(""))))
     return v.select(F.col("cited").alias("chunk_id"), F.col("query_id").alias("doc_id"), "resolvable", F.round("support_score", 9).alias("support_score"), "verified")

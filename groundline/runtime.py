@@ -35,8 +35,16 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, *columns: str, busy: bool = False) -> DataFrame:
+    """A table of a folder, or some of its columns.
+
+    ``busy``: what follows is bound by the CPU, so an input of fewer splits than there are cores (a few small files) is
+    dealt out to all of them; a larger input is left in its own splits and is not shuffled.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if busy and df.rdd.getNumPartitions() < cores else df
 
 
 def ship_package(spark: SparkSession) -> None:
