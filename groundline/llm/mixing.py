@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundline.runtime import broadcast_if_small
+from groundline.runtime import broadcast_if_small, materialise
 
 #: Buckets of the rank histogram of one source of one mix; only the bucket that holds the goal is sorted.
 BUCKETS = 4096
@@ -75,8 +75,9 @@ def mix_sources(sized: DataFrame, targets: DataFrame, seed: int = 20260101, buck
     docs = sized.where("source is not null and n_tokens > 0")
     sizes = docs.groupBy("source").agg(F.sum("n_tokens").alias("tokens"))
     weights = docs.groupBy("source", "w").agg(F.sum("n_tokens").alias("w_tokens"))
-    goal = goals(targets, sizes)
-    plan = inclusion(goal, weights).select("mix_name", "source", "repeats", "copies", "rest", "factor")
+    # a row for each target: written once, for it is read at every step
+    goal = materialise(goals(targets, sizes), "goals")
+    plan = materialise(inclusion(goal, weights).select("mix_name", "source", "repeats", "copies", "rest", "factor"), "plan")
     # one row for each target at most, so the number of targets bounds what is broadcast, and no source is shuffled as one
     bound = targets.count()
     d = docs.join(broadcast_if_small(plan, bound, 128), "source")
