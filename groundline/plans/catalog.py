@@ -237,7 +237,6 @@ def _pairs(spark: SparkSession, d: str, k: int = 30) -> DataFrame:
     return hits.join(_chunks(spark, d), "chunk_id").join(table(spark, d, "probe_queries").select("query_id", "query"), "query_id")
 
 
-_Q, _C, _H = "qt", "ct2", "ht"
 _BI = lambda t: f"list_transform(range(1, len({t})), lambda i: {t}[i] || '_' || {t}[i + 1])"
 
 
