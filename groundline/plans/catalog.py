@@ -174,8 +174,9 @@ def dense_topk(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def lsi_topk(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
-    weights, _ = dense.tfidf(docs, "doc_id", F.col("text"), min_df=2)
-    rows, _ = dense.latent_vectors(weights, "doc_id", dim=32, power_rounds=1)
+    settings = Settings()
+    weights, _ = dense.tfidf(docs, "doc_id", F.col("text"), settings.embedding.max_df, settings.embedding.min_df)
+    rows, _ = dense.latent_vectors(weights, "doc_id", settings.embedding.dim, seed=settings.seed)
     rows = materialise(rows, "vectors")
     return dense.dense_top_k(rows.where("doc_id % 20 = 0"), rows, "doc_id", "vector", 5)
 
