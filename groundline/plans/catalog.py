@@ -11,7 +11,7 @@ from groundline.config import Settings
 from groundline.functions import text as T
 from groundline.functions import vocabulary as V
 from groundline.operators import answers, chunking, dense, fusion, lexical, metrics, planning, references, relevance, rerank, store
-from groundline.plans import search, sql
+from groundline.plans import evaluate, search, sql
 from groundline.runtime import materialise, table
 from groundline.sources.filings import split_items
 from groundline.streaming import monitor
@@ -409,16 +409,17 @@ def mmr_answers(spark: SparkSession, d: str) -> DataFrame:
     return answers.answers(q, evidence)
 
 
+def _training_rows(spark: SparkSession, d: str, index: search.Index, settings: Settings) -> DataFrame:
+    """Candidates of the judged queries in both lists, with features and labels."""
+    queries = table(spark, d, "qrels").select("query_id", "query").where("query_id is not null and query is not null").distinct()
+    return evaluate.training_rows(index, queries, qrels_resolve(spark, d), settings)
+
+
 @query()
 def rerank_logistic(spark: SparkSession, d: str) -> DataFrame:
-    """Judged queries: BM25 candidates, a model trained on half of the queries, the other half's hits reranked."""
-    qrels = table(spark, d, "qrels").select("query_id", "query").distinct().where("query is not null")
-    chunks = _chunks(spark, d)
-    hits = lexical.bm25_scores(qrels, chunks, "query_id", "query", "chunk_id", lexical.indexed_text(F.col("section_heading"), F.col("text")))
-    hits = lexical.top_k(hits, "query_id", "score", "chunk_id", 30).withColumn("lexical_score", F.col("score")).withColumn("dense_score", F.lit(0.0))
-    rel = qrels_resolve(spark, d).withColumn("label", F.lit(1))
-    rows = hits.join(chunks, "chunk_id").join(qrels, "query_id").join(rel, ["query_id", "chunk_id"], "left").fillna(0, ["label"])
-    rows = materialise(rerank.features(rows), "features")
+    """Judged queries: fused candidates, a model trained on half of the queries, the other half's hits reranked."""
+    settings = Settings()
+    rows = _training_rows(spark, d, search.build_index(_described(spark, d), settings), settings)
     half = F.pmod(F.xxhash64("query_id"), F.lit(2)) == 0
     model = rerank.fit(rows.where(half))
     return rerank.rerank(model, rows.where(~half), "query_id", "chunk_id", 10).select("query_id", "chunk_id", F.col("rank").cast("int").alias("rank"), "label", "rerank_score")

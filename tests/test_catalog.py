@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from groundline.operators import dense
+from groundline.operators import dense, rerank
 from groundline.plans import catalog
 from groundline.runtime import table
 
@@ -38,3 +38,12 @@ def latent_recall(spark, folder):
 
 def test_latent_top_k_like_an_exact_decomposition(spark):
     assert latent_recall(spark, TABLES) >= 0.99
+
+
+def test_reranker_learns_from_fused_candidates(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(rerank, "fit", lambda rows, fit=rerank.fit: seen.append(rows) or fit(rows))
+    hits = catalog.rerank_logistic(spark, TABLES)
+    r = seen[0].agg(F.count_distinct("dense_score").alias("dense"), F.sum((F.col("score") != F.col("lexical_score")).cast("int")).alias("fused"), F.sum((F.col("lexical_score") == 0).cast("int")).alias("dense_only"), F.max("label").alias("label")).first()
+    assert r.dense > 1 and r.fused > 0 and r.dense_only > 0 and r.label == 1
+    assert 0 < hits.count() == hits.select("query_id", "chunk_id").distinct().count()
