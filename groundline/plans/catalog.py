@@ -427,9 +427,16 @@ def rerank_logistic(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def answer_probe_queries(spark: SparkSession, d: str) -> DataFrame:
-    """The whole path for the standing queries: plan, term search, scope, merge, answer."""
-    settings = Settings().with_overrides({"reranking.enabled": False})
-    index = search.build_index(_described(spark, d), settings, with_vectors=False)
+    """The whole path for the standing queries: plan, search terms and vectors, fuse, scope, rerank, merge, answer.
+
+    The reranker is fitted on the training half of the judged queries.
+    """
+    settings = Settings()
+    index = search.build_index(_described(spark, d), settings)
+    rows = _training_rows(spark, d, index, settings)
+    # judged queries are few; their ids reach the driver
+    train, _ = relevance.training_split([r["query_id"] for r in rows.select("query_id").distinct().collect()], seed=settings.seed)
+    index.model = rerank.fit(rows.join(spark.createDataFrame([(q,) for q in train], "query_id string"), "query_id", "left_semi"))
     return search.answer(index, table(spark, d, "probe_queries").select("query_id", "query"), settings)
 
 

@@ -3,8 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from groundline.config import Settings
 from groundline.operators import dense, rerank
-from groundline.plans import catalog
+from groundline.plans import catalog, search
 from groundline.runtime import table
 
 TABLES = "/root/testdata/sf0.001"
@@ -47,3 +48,12 @@ def test_reranker_learns_from_fused_candidates(spark, monkeypatch):
     r = seen[0].agg(F.count_distinct("dense_score").alias("dense"), F.sum((F.col("score") != F.col("lexical_score")).cast("int")).alias("fused"), F.sum((F.col("lexical_score") == 0).cast("int")).alias("dense_only"), F.max("label").alias("label")).first()
     assert r.dense > 1 and r.fused > 0 and r.dense_only > 0 and r.label == 1
     assert 0 < hits.count() == hits.select("query_id", "chunk_id").distinct().count()
+
+
+def test_probe_queries_take_the_whole_path(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(search, "answer", lambda index, queries, settings: seen.append((index, settings)) or queries)
+    catalog.answer_probe_queries(spark, TABLES)
+    index, settings = seen[0]
+    assert settings == Settings() and index.model is not None and index.model.numFeatures == 10
+    assert index.vectors.where(F.size("vector") > 32).count() == index.vectors.count() > 0
