@@ -363,7 +363,7 @@ def latency_summary(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bootstrap_mean(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "query_log").where("groundedness between 0 and 1").select("query_id", "groundedness").dropDuplicates(["query_id"])
-    return metrics.bootstrap_distributed(q, "groundedness", resamples=200)
+    return metrics.bootstrap_distributed(q, "groundedness")
 
 
 _TRUNCATED = "CASE WHEN length(k.text) > 240 THEN regexp_replace(left(k.text, 237), '(?s) [^ ]*$', '') || '...' ELSE k.text END"

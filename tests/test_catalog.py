@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from groundline.config import Settings
-from groundline.operators import dense, rerank
+from groundline.operators import dense, metrics, rerank
 from groundline.plans import catalog, search
 from groundline.runtime import table
 
@@ -57,3 +57,8 @@ def test_probe_queries_take_the_whole_path(spark, monkeypatch):
     index, settings = seen[0]
     assert settings == Settings() and index.model is not None and index.model.numFeatures == 10
     assert index.vectors.where(F.size("vector") > 32).count() == index.vectors.count() > 0
+
+
+def test_bootstrap_takes_the_default_resamples(spark):
+    q = table(spark, TABLES, "query_log").where("groundedness between 0 and 1").select("query_id", "groundedness").dropDuplicates(["query_id"])
+    assert catalog.bootstrap_mean(spark, TABLES).first() == metrics.bootstrap_distributed(q, "groundedness", resamples=2000).first()
