@@ -2,32 +2,57 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from groundline.config import ConfigurationError
+
 #: A side is broadcast only if it was counted and its rows times width stay below this.
 BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """Folder all executors share: spark.checkpoint.dir. Where it is unset, a local session gets a temporary folder of
+    its own (tests); a cluster is refused, since its executors share no such folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ConfigurationError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="groundline-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
     return folder
 
 
+def _files(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage by a table written to the shared folder; survives the loss of executors."""
+    """Cut the lineage by a table written to the shared folder; survives the loss of executors.
+
+    The tables of an application lie in one folder, which is deleted when the application ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/groundline/{name}-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark).rstrip('/')}/groundline/{spark.sparkContext.applicationId}"
+    path = f"{home}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    files, at = _files(spark, home)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that materialise() wrote and nothing reads any more."""
+    files, at = _files(df.sparkSession, df.written_to)
+    files.delete(at, True)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
