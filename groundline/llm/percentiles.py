@@ -1,10 +1,12 @@
 """Exact percentiles per group by distributed multi-select, over blocks that can be joined across days and shares.
 
 A block is one sorted array of values of a group that one partition saw; blocks of different days or shares of a
-table are joined by a plain union. To select the k-th value of each group, every block proposes the median of its
-values still in question, the weighted median of the proposals becomes the group's pivot, the blocks count three ways
-(below, equal, above), and the ranges ruled out are discarded; this repeats until the pivot is the value or so few are
-left that they are compared directly. Only counts and proposals move, never the values; the error is zero.
+table are joined by a plain union. All percentiles of a group are selected together. In every round each block
+proposes the median of its values still in question, the weighted median of the proposals becomes the pivot, and the
+blocks are counted and cut three ways (below, equal, above). The wanted ranks fall to one of the three parts; a part
+without a wanted rank is discarded, so the blocks shrink from round to round. Every group passes at least one round,
+and it ends when the pivot is the value, or when no more than a handful of values are left to compare. Values never
+leave their blocks' partitions but for that handful; the error is zero.
 """
 
 from __future__ import annotations
@@ -13,17 +15,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from groundline.runtime import broadcast_if_small, materialise
+from groundline.runtime import BROADCAST_BYTES, discard, materialise
 
 #: Values a partition gathers before it writes its blocks: bounds a task's memory and a block's size.
 BLOCK_VALUES = 1 << 19
-#: A group's selection ends by direct comparison once so many values are in question.
-FINISH = 2048
+#: So few values are compared directly.
+FINISH = 16
 #: Bytes taken for one row of the selection's state when it is broadcast.
-STATE_BYTES = 200
+STATE_BYTES = 400
+#: Where the state is too large to broadcast, the blocks of a group spread over so many tasks.
+SALTS = 32
 
 
 def _block_batches(limit: int):
@@ -69,106 +74,111 @@ def sorted_blocks(values: DataFrame, by: list[str], value: str, block_values: in
     return rows.mapInArrow(_block_batches(block_values), f"{keys}, n_values bigint, sorted_values array<double>")
 
 
-def _rows(batches: Iterator[pa.RecordBatch], work, names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cols = [batch.column(i) for i in range(batch.num_columns)]
-        out = work(cols)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names)
-
-
-def _range(v: np.ndarray, lo: float | None, hi: float | None) -> tuple[int, int]:
-    return (0 if lo is None else int(np.searchsorted(v, lo, "right"))), (len(v) if hi is None else int(np.searchsorted(v, hi, "left")))
-
-
-def _propose(batches):
-    def work(c):
-        gid, med, wt = [], [], []
-        for i in range(len(c[0])):
-            v = c[3][i].values.to_numpy()
-            a, b = _range(v, c[1][i].as_py(), c[2][i].as_py())
-            if b > a:
-                gid.append(c[0][i].as_py()), med.append(float(v[a + (b - a - 1) // 2])), wt.append(b - a)
-        return gid, med, wt
-
-    return _rows(batches, work, ["sid", "median", "weight"], [pa.int64(), pa.float64(), pa.int64()])
+def _cuts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (g, seg, pivot, salt, v) -> their parts (g, at, side, salt, n, median, v): below -1, equal 0, above 1.
 
+    The equal values are only counted. A part's median is its proposal for the next round.
+    """
+    for batch in batches:
+        v, pivots = batch.column(4), batch.column(2).to_numpy(zero_copy_only=False)
+        ends, flat = v.offsets.to_numpy(), v.values.to_numpy()
+        rows, sides, counts, medians, parts = [], [], [], [], []
+        for i, pivot in enumerate(pivots):
+            block = flat[ends[i] : ends[i + 1]]
+            a, b = int(np.searchsorted(block, pivot, "left")), int(np.searchsorted(block, pivot, "right"))
+            for side, n, part in ((-1, a, block[:a]), (0, b - a, block[:0]), (1, len(block) - b, block[b:])):
+                if n:
+                    rows.append(i), sides.append(side), counts.append(n), parts.append(part)
+                    medians.append(float(part[(n - 1) // 2]) if side else float(pivot))
+        offsets = pa.array(np.r_[0, np.cumsum([len(p) for p in parts])], pa.int32())
+        values = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64()))
+        take = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [pc.take(batch.column(0), take), pc.take(batch.column(1), take), pa.array(sides, pa.int32()), pc.take(batch.column(3), take), pa.array(counts, pa.int64()), pa.array(medians, pa.float64()), values],
+            ["g", "at", "side", "salt", "n", "median", "v"],
+        )
+
+
+def _met(blocks: DataFrame, state: DataFrame, rows: int) -> DataFrame:
+    """Blocks joined to rows of the state on (g, at, side).
+
+    A state of a checked size is broadcast. A larger one has very many groups and is shuffled, each of its rows to all
+    salts, so that the blocks of a hot group spread over several tasks.
+    """
+    if rows * STATE_BYTES <= BROADCAST_BYTES:
+        return blocks.join(F.broadcast(state), ["g", "at", "side"])
+    return blocks.join(state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["g", "at", "side", "salt"])
 
-def _count(batches):
-    def work(c):
-        gid, below, equal = [], [], []
-        for i in range(len(c[0])):
-            v = c[2][i].values.to_numpy()
-            p = c[1][i].as_py()
-            a, b = int(np.searchsorted(v, p, "left")), int(np.searchsorted(v, p, "right"))
-            gid.append(c[0][i].as_py()), below.append(a), equal.append(b - a)
-        return gid, below, equal
 
-    return _rows(batches, work, ["sid", "below", "equal"], [pa.int64(), pa.int64(), pa.int64()])
+def _sides(parts: DataFrame) -> DataFrame:
+    """Of every (g, at): below, equal and above, the values on each side, and the sides' pivots low and high.
 
+    A pivot is the weighted lower median of the blocks' proposals, so it is one of the values. Only counts and
+    proposals are shuffled.
+    """
+    p = parts.select("g", "at", "side", "n", "median").repartition("g", "at")
+    w = Window.partitionBy("g", "at", "side")
+    upto = F.sum("n").over(w.orderBy("median").rowsBetween(Window.unboundedPreceding, 0))
+    p = p.withColumns({"upto": upto, "all": F.sum("n").over(w)}).withColumn("half", F.when(2 * F.col("upto") >= F.col("all"), F.col("median")))
+    of = lambda side, c: F.when(F.col("side") == side, F.col(c))
+    return p.groupBy("g", "at").agg(*[F.coalesce(F.sum(of(s, "n")), F.lit(0)).alias(c) for s, c in ((-1, "below"), (0, "equal"), (1, "above"))], F.min(of(-1, "half")).alias("low"), F.min(of(1, "half")).alias("high"))
 
-def _slice(batches):
-    def work(c):
-        gid, left = [], []
-        for i in range(len(c[0])):
-            v = c[3][i].values.to_numpy()
-            a, b = _range(v, c[1][i].as_py(), c[2][i].as_py())
-            if b > a:
-                gid.append(c[0][i].as_py()), left.append(v[a:b].tolist())
-        return gid, left
 
-    return _rows(batches, work, ["sid", "left"], [pa.int64(), pa.list_(pa.float64())])
+_TARGETS = "array<struct<i:int,p:double,k:bigint>>"
 
 
-def select_percentiles(blocks: DataFrame, by: list[str], ps: list[float], finish: int = FINISH) -> DataFrame:
+def select_percentiles(blocks: DataFrame, by: list[str], ps: list[float], finish: int = FINISH, rounds: list[int] | None = None) -> DataFrame:
     """Exact percentiles of every group: by, p, n, value.
 
     The p-th percentile is the value of rank ceil(p * n) (the lowest value that at least a share p does not exceed).
     ``blocks`` come from sorted_blocks and are read from a table; groups without values give no row. Ties are values
-    like any other; infinite values order as numbers.
+    like any other; infinite values order as numbers; a percentile asked for twice is given once. ``rounds``, if
+    given, gets the number of segments that went through each round.
     """
-    names, by = by, [f"by{i}" for i in range(len(by))]
-    blocks = blocks.select(*[F.col(c).alias(b) for c, b in zip(names, by, strict=True)], F.col("n_values").alias("n"), F.col("sorted_values").alias("v"))
-    sizes = blocks.groupBy(*by).agg(F.sum("n").alias("n"))
-    wanted = F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("n") - 1e-9)).cast("bigint").alias("k")) for p in ps]))
-    state = sizes.select(*by, "n", wanted.alias("w")).select(*by, "n", "w.p", "w.k")
-    none = F.lit(None).cast("double")
-    # under: values at or below lo; left: values strictly between lo and hi, the ones still in question
-    state = state.select(F.monotonically_increasing_id().alias("sid"), *by, "n", "p", "k", none.alias("lo"), none.alias("hi"), F.lit(0).cast("bigint").alias("under"), F.col("n").alias("left"), none.alias("value"))
-    state = materialise(state, "selection")
-    rows = state.count()
-
-    # a null key joins like any other
-    def joined(open_, *cols):
-        small = broadcast_if_small(open_.select("sid", *[F.col(c).alias(f"s_{c}") for c in by], *cols), rows, STATE_BYTES)
-        on = F.lit(True)
-        for c in by:
-            on = on & F.col(c).eqNullSafe(F.col(f"s_{c}"))
-        return blocks.join(small, on)
-
-    while True:
-        open_ = state.where(f"value is null and left > {finish}")
-        if not open_.head(1):
-            break
-        proposals = joined(open_, "lo", "hi").select("sid", "lo", "hi", "v").mapInArrow(_propose, "sid bigint, median double, weight bigint")
-        # a weighted median between two proposals may be no value itself; the counts then rule out one side of it;
-        # between the two infinities it is zero
-        pivots = proposals.groupBy("sid", "median").agg(F.sum("weight").alias("weight")).groupBy("sid").agg(F.expr("nanvl(percentile(median, 0.5, weight), 0.0)").alias("pivot"))
-        asked = open_.join(pivots, "sid")
-        counts = joined(asked, "pivot").select("sid", "pivot", "v").mapInArrow(_count, "sid bigint, below bigint, equal bigint")
-        counts = counts.groupBy("sid").agg(F.sum("below").alias("below"), F.sum("equal").alias("equal"))
-        s = state.join(pivots, "sid", "left").join(counts, "sid", "left")
-        lower, found = F.col("k") <= F.col("below"), F.col("k") <= F.col("below") + F.col("equal")
-        asked_ = F.col("pivot").isNotNull()
-        s = s.select(
-            "sid", *by, "n", "p", "k",
-            F.when(asked_ & ~lower & ~found, F.col("pivot")).otherwise(F.col("lo")).alias("lo"), F.when(asked_ & lower, F.col("pivot")).otherwise(F.col("hi")).alias("hi"),
-            F.when(asked_ & ~lower & ~found, F.col("below") + F.col("equal")).otherwise(F.col("under")).alias("under"),
-            F.when(asked_ & lower, F.col("below") - F.col("under")).when(asked_ & ~found, F.col("left") + F.col("under") - F.col("below") - F.col("equal")).otherwise(F.col("left")).alias("left"),
-            F.when(asked_ & ~lower & found, F.col("pivot")).otherwise(F.col("value")).alias("value"),
-        )
-        state = materialise(s, "selection")
-    rest = joined(state.where("value is null"), "lo", "hi").select("sid", "lo", "hi", "v").mapInArrow(_slice, "sid bigint, left array<double>")
-    rest = rest.groupBy("sid").agg(F.array_sort(F.flatten(F.collect_list("left"))).alias("few"))
-    done = state.join(rest, "sid", "left")
-    value = F.coalesce("value", F.expr("try_element_at(few, cast(k - under as int))"))
-    return done.select(*[F.col(b).alias(c) for c, b in zip(names, by, strict=True)], "p", "n", value.alias("value"))
+    ps = sorted({float(p) for p in ps})
+    names = {c: f"by{i}" for i, c in enumerate(by)}
+    g = F.struct(*[F.col(c).alias(n) for c, n in names.items()])
+    # all values of a group lie above the pivot of no round
+    work = blocks.select(
+        g.alias("g"), F.lit(-1).alias("at"), F.lit(1).alias("side"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"), F.col("n_values").alias("n"),
+        F.expr("sorted_values[cast((n_values - 1) div 2 as int)]").alias("median"), F.col("sorted_values").alias("v"),
+    )
+    key = work.schema["g"].dataType.simpleString()
+    rank = lambda p: F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n") - 1e-9)).cast("bigint")
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(p).alias("p"), rank(p).alias("k")) for i, p in enumerate(ps)]).cast(_TARGETS)
+    # a segment (g, seg) is named by its first target; its values lie in the part (at, side) of the blocks
+    state = _sides(work).select("g", F.col("above").alias("n"), F.col("high").alias("pivot"))
+    state = state.select("g", F.lit(-1).alias("at"), F.lit(1).alias("side"), F.lit(0).alias("seg"), "n", "pivot", wanted.alias("targets"), F.lit(None).cast("double").alias("value"))
+    state, written = materialise(state, "selection"), []
+    while n_open := state.where("value is null").count():
+        if rounds is not None:
+            rounds.append(n_open)
+        asked = state.where("value is null").select("g", "at", "side", "seg", "pivot")
+        parts = _met(work.select("g", "at", "side", "salt", "v"), asked, n_open).select("g", "seg", "pivot", "salt", "v")
+        parts = materialise(parts.mapInArrow(_cuts, f"g {key}, at int, side int, salt int, n bigint, median double, v array<double>"), "parts")
+        following = materialise(_allotted(state, parts, n_open, finish), "selection")
+        for old in (state, *written):
+            discard(old)
+        work, state, written = parts, following, [parts]
+    out = state.select("g", "n", F.explode("targets").alias("t"), "value")
+    return out.select(*[F.col(f"g.{n}").alias(c) for c, n in names.items()], F.col("t.p").alias("p"), "n", "value")
+
+
+def _allotted(state: DataFrame, parts: DataFrame, n_open: int, finish: int) -> DataFrame:
+    """The state after a round: targets fall below, on or above the pivot; small rests are compared directly."""
+    s = state.where("value is null").drop("at", "side", "value").join(_sides(parts).withColumnRenamed("at", "seg"), ["g", "seg"])
+    part = F.expr("""filter(array(
+        named_struct('side', -1, 'left', below, 'pivot', low, 'targets', filter(targets, t -> t.k <= below)),
+        named_struct('side', 0, 'left', equal, 'pivot', pivot, 'targets', filter(targets, t -> t.k > below and t.k <= below + equal)),
+        named_struct('side', 1, 'left', above, 'pivot', high, 'targets',
+            transform(filter(targets, t -> t.k > below + equal), t -> named_struct('i', t.i, 'p', t.p, 'k', t.k - below - equal)))
+        ), part -> size(part.targets) > 0)""")
+    s = s.select("g", F.col("seg").alias("at"), "n", F.explode(part).alias("part")).select("g", "at", "n", "part.*")
+    few = _met(parts.select("g", "at", "side", "salt", "v"), s.where(f"side <> 0 and left <= {finish}").select("g", "at", "side"), 2 * n_open)
+    few = few.groupBy("g", "at", "side").agg(F.array_sort(F.flatten(F.collect_list("v"))).alias("few"))
+    s = s.join(few, ["g", "at", "side"], "left")
+    # a target that is found by comparison gets a row of its own
+    s = s.withColumn("targets", F.explode(F.when(F.col("few").isNull(), F.array("targets")).otherwise(F.transform("targets", lambda t: F.array(t)))))
+    value = F.when(F.col("side") == 0, F.col("pivot")).otherwise(F.expr("few[cast(targets[0].k as int) - 1]"))
+    s = s.select("g", "at", "side", F.expr("targets[0].i").alias("seg"), "n", "pivot", F.col("targets").cast(_TARGETS).alias("targets"), value.alias("value"))
+    return state.where("value is not null").unionByName(s)
