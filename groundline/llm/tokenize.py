@@ -1,11 +1,13 @@
 """Encoding of a whole corpus with a byte-level BPE of the public tokenizer files.
 
-Pre-tokens never cross a position whose left character is not white space and whose right one is a blank, so
-every pre-tokenisation of the text, wherever it starts, has a boundary there: such positions need no stitching.
-Short texts are cut at them, and the pieces are encoded through a bounded cache. Long texts are cut to overlapping
-chunks that are pre-tokenised in parallel; two neighbours are stitched at the first boundary both have in their
-overlap, behind which they agree, and the pieces between stitches are encoded. A text one of whose overlaps has no
-common boundary (one unbroken run of letters, say) is encoded whole, so the result is exact for every text.
+Every text is cut to overlapping chunks. Each chunk is pre-tokenised on its own; two neighbours are stitched at the
+first pre-token boundary both have in their overlap, behind which they agree, and the pre-tokens between the stitches
+are encoded. Where an overlap has no common boundary (an unbroken run of letters, say), that overlap alone is widened
+until it has one, so the result is exact for every text. Decoding concatenates the raw bytes.
+
+The chunks of one text are handled in the task that holds it: a corpus of many texts is parallel by its texts and is
+not shuffled. A text of more than ``deal`` characters is dealt out to all tasks in stretches, which are stitched by the
+same rule through a join.
 """
 
 from __future__ import annotations
@@ -15,10 +17,10 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundline.runtime import materialise
@@ -26,26 +28,98 @@ from groundline.runtime import materialise
 #: Folder of the public vocabulary files; a parameter of every operator here.
 TOKENIZERS = "/opt/tokenizers"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
-#: Characters of a chunk and of the overlap to the next; texts up to one chunk are encoded in one piece.
-CHUNK, OVERLAP = 16_384, 512
+#: Characters of a chunk and of the overlap to the next.
+CHUNK, OVERLAP = 1024, 64
+#: Characters of a stretch, and of the overlap to the next, of a text that is dealt out to all tasks.
+DEAL, DEAL_OVERLAP = 1 << 18, 512
 CACHE_ENTRIES, CACHE_CHARS = 400_000, 24
 
 # The split pattern that belongs to the vocabulary, and the white space it knows.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPACES = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
-_SPACE_THEN_BLANK = re.compile(f"[{SPACES}] ")
-_SAFE_CUT = re.compile(f"(?<=[^{SPACES}]) ")
+#: The end of a chunk may cut a pre-token, so boundaries in its last few characters prove nothing.
+_UNSURE = 8
+
+
+@lru_cache(maxsize=2)
+def _matcher(ascii_only: bool):
+    """The vocabulary's pattern with its own white space spelt out; the plain letters and digits for ASCII texts."""
+    import regex
+
+    spaces = "".join(c for c in SPACES if c.isascii()) if ascii_only else SPACES
+    pattern = PATTERN.replace(r"[^\s", f"[^{spaces}").replace(r"\s", f"[{spaces}]").replace(r"\S", f"[^{spaces}]")
+    if ascii_only:
+        return re.compile(pattern.replace(r"\p{L}\p{N}]", "A-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")).findall
+    return regex.compile(pattern).findall
+
+
+def _find(text: str) -> list[str]:
+    return _matcher(text.isascii())(text)
+
+
+def _seam(left: list[str], right: list[str], start: int, end: int) -> tuple[int, int] | None:
+    """The first boundary that ``left``, which ends at ``end``, and ``right``, which begins at ``start``, have in
+    common: how many pre-tokens of each lie before it."""
+    at, i, ours = end, len(left), {}
+    while i and at > start:
+        if at < end - _UNSURE:
+            ours[at] = i
+        i -= 1
+        at -= len(left[i])
+    if at == start:
+        ours[at] = i
+    at = start
+    for j, token in enumerate(right):
+        if at in ours:
+            return ours[at], j
+        at += len(token)
+        if at >= end - _UNSURE:
+            break
+    return None
+
+
+def pretokens(text: str, chunk: int = CHUNK, overlap: int = OVERLAP, seams: list[int] | None = None) -> list[str]:
+    """Pre-tokens of a text by overlapping chunks, the same as those of the text as one piece.
+
+    ``seams``, if given, gets the width of every overlap that was stitched.
+    """
+    find, size, done = _find, len(text), []
+    end = min(size, chunk + overlap)
+    left = find(text[:end])
+    while end < size:
+        start = end - overlap
+        far = min(size, start + chunk + overlap)
+        right = find(text[start:far])
+        met = _seam(left, right, start, end)
+        if met:
+            done += left[: met[0]]
+            left, end = right[met[1] :], far
+            if seams is not None:
+                seams.append(overlap)
+            continue
+        # no common boundary: the open rest behind the last sure one is read on, twice as far as before
+        at, i = end, len(left)
+        while i and at >= end - _UNSURE:
+            i -= 1
+            at -= len(left[i])
+        done += left[:i]
+        end = min(size, max(far, at + 2 * (end - at)))
+        left = find(text[at:end])
+        if seams is not None:
+            seams.append(end - at)
+    done += left
+    return done
 
 
 class _Cache(dict):
-    """What of a piece that follows a cut (and so starts with a blank) is kept: its ids, or their number."""
+    """What of a pre-token is kept: its ids, or their number."""
 
     def __init__(self, encode, keep):
         self._encode, self._keep = encode, keep
 
     def __missing__(self, piece: str):
-        value = self._keep(self._encode(" " + piece))
+        value = self._keep(self._encode(piece))
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -62,23 +136,11 @@ class Encoder:
         self._bpe = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._ids, self._counts = _Cache(self._bpe.encode_ordinary, tuple), _Cache(self._bpe.encode_ordinary, len)
 
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
-        if _SPACE_THEN_BLANK.search(text):
-            return _SAFE_CUT.split(text)
-        return text.split(" ")
-
-    def ids(self, text: str | None) -> Iterator[int]:
-        if not text:
-            return iter(())
-        first, *rest = self._pieces(text)
-        return chain(self._bpe.encode_ordinary(first), chain.from_iterable(map(self._ids.__getitem__, rest)))
+    def ids(self, text: str | None, chunk: int = CHUNK, overlap: int = OVERLAP) -> Iterator[int]:
+        return chain.from_iterable(map(self._ids.__getitem__, pretokens(text or "", chunk, overlap)))
 
-    def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        first, *rest = self._pieces(text)
-        return len(self._bpe.encode_ordinary(first)) + sum(map(self._counts.__getitem__, rest))
+    def count(self, text: str | None, chunk: int = CHUNK, overlap: int = OVERLAP) -> int:
+        return sum(map(self._counts.__getitem__, pretokens(text or "", chunk, overlap)))
 
     def decode(self, ids: list[int]) -> str:
         """Concatenates the raw bytes of the tokens."""
@@ -95,13 +157,15 @@ def _texts(column: pa.Array) -> Iterator[str | None]:
     return (x.as_py() for x in column) if len(column) < 64 else iter(column.to_pylist())
 
 
-def _encode_batches(path: str):
+def _encode_batches(path: str, chunk: int, overlap: int):
+    """Rows (..., text) -> (..., ids)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
             flat, ends = array("i"), array("i", [0])
             for text in _texts(batch.column(batch.num_columns - 1)):
-                flat.extend(enc.ids(text))
+                flat.extend(enc.ids(text, chunk, overlap))
                 ends.append(len(flat))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], [*batch.schema.names[:-1], "ids"])
@@ -109,83 +173,113 @@ def _encode_batches(path: str):
     return run
 
 
-def _count_batches(path: str):
+def _count_batches(path: str, chunk: int, overlap: int):
+    """Rows (..., text) -> (..., n_tokens)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            n = pa.array((enc.count(t) for t in _texts(batch.column(batch.num_columns - 1))), pa.int64(), size=batch.num_rows)
+            n = pa.array((enc.count(t, chunk, overlap) for t in _texts(batch.column(batch.num_columns - 1))), pa.int64(), size=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], n], [*batch.schema.names[:-1], "n_tokens"])
 
     return run
 
 
-def _boundary_batches(overlap: int):
-    """Of each chunk (id, k, start, text): the pre-token boundaries that its two overlaps hold, by seam."""
+def _deal_batches(deal: int, overlap: int):
+    """Rows (row, text) -> stretches (row, k, start, last, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
+        for batch in batches:
+            for row, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), strict=True):
+                for k, start in enumerate(range(0, len(text), deal)):
+                    yield pa.RecordBatch.from_pylist([{"row": row, "k": k, "start": start, "last": start + deal >= len(text), "text": text[start : start + deal + overlap]}], _STRETCH)
 
-        pattern = regex.compile(PATTERN)
+    return run
+
+
+_STRETCH = pa.schema([("row", pa.int64()), ("k", pa.int32()), ("start", pa.int64()), ("last", pa.bool_()), ("text", pa.string())])
+
+
+def _boundary_batches(overlap: int, chunk: int, small: int):
+    """Stretches -> the pre-token boundaries that their overlaps hold: row, seam, side (0 left, 1 right), bounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {"id": [], "seam": [], "side": [], "bounds": []}
-            for doc, k, start, last, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                # the end of a chunk may cut a pre-token, so its last few characters prove nothing
-                reach = len(text) - 8
-                cuts = [m.start() for m in pattern.finditer(text) if 0 < m.start() < reach and text[m.start() - 1] not in SPACES]
+            out: list[tuple] = []
+            for row, k, start, last, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cuts = list(accumulate(map(len, pretokens(text, chunk, small)), initial=0))
                 if k:
-                    out["id"].append(doc), out["seam"].append(k), out["side"].append(1)
-                    out["bounds"].append([start + c for c in cuts if c < overlap])
+                    out.append((row, k, 1, [start + c for c in cuts if c < overlap - _UNSURE]))
                 if not last:
-                    out["id"].append(doc), out["seam"].append(k + 1), out["side"].append(0)
-                    out["bounds"].append([start + c for c in cuts if c >= len(text) - overlap])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["id"], batch.schema.field(0).type), pa.array(out["seam"], pa.int32()), pa.array(out["side"], pa.int32()), pa.array(out["bounds"], pa.list_(pa.int64()))], ["id", "seam", "side", "bounds"]
-            )
+                    # a stretch but the first may begin within a pre-token: the match with its neighbour decides
+                    out.append((row, k + 1, 0, [start + c for c in cuts if len(text) - overlap <= c < len(text) - _UNSURE]))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["row", "seam", "side", "bounds"])
 
     return run
 
 
-def _stitched(long: DataFrame, id_type: str, path: str, chunk: int, overlap: int) -> DataFrame:
-    n = F.length("text")
-    starts = F.sequence(F.lit(0), n - 1, F.lit(chunk))
-    chunks = long.select("id", "row", n.alias("n"), F.size(starts).alias("of"), F.posexplode(starts).alias("k", "start"), "text")
-    chunks = chunks.withColumn("text", F.expr(f"substring(text, start + 1, {chunk + overlap})")).repartition("id", "row", "k")
-    keyed = chunks.select(F.struct("id", "row").alias("key"), "k", "start", (F.col("k") == F.col("of") - 1).alias("last"), "text")
-    key = keyed.schema["key"].dataType.simpleString()
-    seams = keyed.mapInArrow(_boundary_batches(overlap), f"id {key}, seam int, side int, bounds array<bigint>")
-    seams = seams.groupBy(F.col("id.id").alias("id"), F.col("id.row").alias("row"), "seam").agg(
-        F.array_min(F.array_intersect(F.coalesce(F.max(F.when(F.col("side") == 0, F.col("bounds"))), F.array().cast("array<bigint>")), F.coalesce(F.max(F.when(F.col("side") == 1, F.col("bounds"))), F.array().cast("array<bigint>")))).alias("cut")
-    )
-    unstitched = seams.where("cut is null").select("id", "row").distinct()
-    begin, end = seams.select("id", "row", F.col("seam").alias("k"), F.col("cut").alias("a")), seams.select("id", "row", (F.col("seam") - 1).alias("k"), F.col("cut").alias("b"))
-    pieces = chunks.join(unstitched, ["id", "row"], "left_anti").join(begin, ["id", "row", "k"], "left").join(end, ["id", "row", "k"], "left")
-    a, b = F.coalesce("a", F.lit(0)), F.coalesce("b", "n")
-    pieces = pieces.select("id", "row", "k", F.substring("text", (a - F.col("start") + 1).cast("int"), (b - a).cast("int")).alias("text"))
-    coded = pieces.mapInArrow(_encode_batches(path), f"id {id_type}, row bigint, k int, ids array<int>")
-    whole = coded.groupBy("id", "row").agg(F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("p")).select("id", F.flatten("p.ids").alias("ids"))
-    rest = long.join(unstitched, ["id", "row"], "left_semi").select("id", "text").mapInArrow(_encode_batches(path), f"id {id_type}, ids array<int>")
-    return whole.unionByName(rest)
-
-
-def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, vocabulary: str = BYTE_BPE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, run, a, b, parts) -> (row, run, text): the parts put together, from a to b (null: to the end)."""
+    for batch in batches:
+        texts = ["".join(parts)[a : None if b is None else b] for a, b, parts in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["row", "run", "text"])
+
+
+def _dealt(long: DataFrame, path: str, chunk: int, small: int, deal: int, overlap: int) -> DataFrame:
+    """Token ids of long texts (row, text), whose stretches spread over all tasks: row, ids.
+
+    Neighbours that have no common boundary in their overlap are put together and encoded as one; the others are not
+    held up by them.
+    """
+    stretches = long.mapInArrow(_deal_batches(deal, overlap), "row bigint, k int, start bigint, last boolean, text string").repartition("row", "k")
+    seams = stretches.mapInArrow(_boundary_batches(overlap, chunk, small), "row bigint, seam int, side int, bounds array<bigint>")
+    # a left stretch is sure behind its own first stitch only; what lies before it is the neighbour's
+    bounds = lambda side: F.max(F.when(F.col("side") == side, F.col("bounds")))
+    seams = seams.groupBy("row", "seam").agg(F.array_min(F.array_intersect(bounds(0), bounds(1))).alias("cut"))
+    order = Window.partitionBy("row").orderBy("k")
+    runs = stretches.join(seams.withColumnRenamed("seam", "k"), ["row", "k"], "left").withColumn("run", F.count("cut").over(order))
+    part = F.when(F.col("last") | (F.lead("run").over(order) > F.col("run")), F.col("text")).otherwise(F.substring("text", 1, deal))
+    runs = runs.withColumn("part", part).groupBy("row", "run").agg(F.min("start").alias("start"), F.max("cut").alias("cut"), F.array_sort(F.collect_list(F.struct("k", "part"))).alias("p"))
+    begin = F.coalesce("cut", F.lit(0))
+    pieces = runs.select("row", "run", (begin - F.col("start")).alias("a"), (F.lead("cut").over(Window.partitionBy("row").orderBy("run")) - F.col("start")).alias("b"), F.col("p.part").alias("parts"))
+    coded = pieces.mapInArrow(_cut_batches, "row bigint, run bigint, text string").mapInArrow(_encode_batches(path, chunk, small), "row bigint, run bigint, ids array<int>")
+    return coded.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("run", "ids"))).alias("p")).select("row", F.flatten("p.ids").alias("ids"))
+
+
+def _split(docs: DataFrame, text: str, deal: int) -> tuple[DataFrame, DataFrame]:
+    """Rows whose chunks stay where they are, and the rows to be dealt out, numbered by ``row__``.
+
+    The number tells repeated rows apart; it is drawn once, since these few rows are written down.
+    """
+    size = F.coalesce(F.length(text), F.lit(0))
+    return docs.where(size <= deal), materialise(docs.where(size > deal).withColumn("row__", F.monotonically_increasing_id()), "long-texts")
+
+
+def encode_corpus(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, vocabulary: str = BYTE_BPE, chunk: int = CHUNK, overlap: int = OVERLAP, deal: int = DEAL, deal_overlap: int = DEAL_OVERLAP
+) -> DataFrame:
     """Token ids of every row of ``docs``: key, ids.
 
     Null and empty texts give an empty list; text that looks like a special token is ordinary text; a null key is
     kept; repeated rows give repeated rows; an empty table gives no rows; other columns are not looked at. Texts of
-    any length are encoded whole; those beyond ``chunk`` characters by chunks that spread over all tasks.
+    any length are encoded whole, by chunks; those beyond ``deal`` characters spread over all tasks.
     """
     path, kind = f"{folder}/{vocabulary}", docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text"))
-    size = F.coalesce(F.length("text"), F.lit(0))
-    short = rows.where(size <= chunk).mapInArrow(_encode_batches(path), f"id {kind}, ids array<int>")
-    # a row number tells repeated rows and equal keys apart; it is drawn once, since the long rows are written down
-    long = materialise(rows.where(size > chunk).withColumn("row", F.monotonically_increasing_id()), "long-texts")
-    coded = _stitched(long, kind, path, chunk, overlap)
-    return short.unionByName(coded).select(F.col("id").alias(key), "ids")
+    short, long = _split(docs.select(F.col(key).alias("id"), F.col(text).cast("string").alias("text")), "text", deal)
+    out = short.mapInArrow(_encode_batches(path, chunk, overlap), f"id {kind}, ids array<int>")
+    coded = _dealt(long.select(F.col("row__").alias("row"), "text"), path, chunk, overlap, deal, deal_overlap)
+    out = out.unionByName(long.select("id", F.col("row__").alias("row")).join(coded, "row").select("id", "ids"))
+    return out.select(F.col("id").alias(key), "ids")
 
 
-def count_tokens(docs: DataFrame, text: str = "text", folder: str = TOKENIZERS, vocabulary: str = BYTE_BPE) -> DataFrame:
+def count_tokens(
+    docs: DataFrame, text: str = "text", folder: str = TOKENIZERS, vocabulary: str = BYTE_BPE, chunk: int = CHUNK, overlap: int = OVERLAP, deal: int = DEAL, deal_overlap: int = DEAL_OVERLAP
+) -> DataFrame:
     """The rows of ``docs`` with ``text`` replaced by its number of tokens, n_tokens (0 for null and empty)."""
-    rows = docs.select(*[c for c in docs.columns if c != text], F.col(text).cast("string").alias(text))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(_count_batches(f"{folder}/{vocabulary}"), f"{schema}, n_tokens bigint")
+    path, others = f"{folder}/{vocabulary}", [c for c in docs.columns if c != text]
+    short, long = _split(docs.select(*others, F.col(text).cast("string").alias(text)), text, deal)
+    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
+    counted = short.mapInArrow(_count_batches(path, chunk, overlap), f"{schema}n_tokens bigint")
+    coded = _dealt(long.select(F.col("row__").alias("row"), F.col(text).alias("text")), path, chunk, overlap, deal, deal_overlap)
+    return counted.unionByName(long.join(coded.select(F.col("row").alias("row__"), F.size("ids").cast("bigint").alias("n_tokens")), "row__").select(*others, "n_tokens"))

@@ -106,6 +106,33 @@ def test_percentiles_like_sorting(spark, finish):
     assert got == want
 
 
+def test_every_group_of_the_log_passes_pivot_rounds(spark):
+    from groundline.llm import queries
+
+    by, rounds = ["log_day", "strategy", "measure"], []
+    blocks = queries._measures(spark, "/root/testdata/sf0.01")
+    groups = blocks.select(*by).distinct().count()
+    P.select_percentiles(blocks, by, [0.1, 0.95], rounds=rounds)
+    assert rounds[0] == groups and len(rounds) > 2 and sum(rounds[1:]) > groups
+
+
+def test_ruled_out_ranges_are_discarded(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(P, "_allotted", lambda state, parts, *how, f=P._allotted: kept.append(parts.agg(F.sum(F.size("v"))).first()[0]) or f(state, parts, *how))
+    blocks = P.sorted_blocks(spark.range(4000).select(F.lit("g").alias("g"), (F.col("id") * 7 % 4001).cast("double").alias("v")).repartition(4), ["g"], "v")
+    assert P.select_percentiles(blocks, ["g"], [0.25]).first().value == ranked([i * 7 % 4001 for i in range(4000)], 0.25)
+    # what a round leaves out is not read again: the next one sees the part with the wanted rank alone
+    assert kept[0] == 3999 and all(b <= 0.8 * a for a, b in zip(kept, kept[1:]))
+
+
+def test_a_state_too_large_to_broadcast_is_salted(spark, monkeypatch):
+    rows = [(f"g{i % 7}", float(i * 31 % 501)) for i in range(500)]
+    want = {g: ranked([v for h, v in rows if h == g], 0.5) for g, _ in rows}
+    blocks = P.sorted_blocks(spark.createDataFrame(rows, "g string, v double").repartition(4), ["g"], "v", block_values=20)
+    monkeypatch.setattr(P, "STATE_BYTES", 1 << 40)
+    assert {r.g: r.value for r in P.select_percentiles(blocks, ["g"], [0.5], finish=3).collect()} == want
+
+
 def test_blocks_of_days_join(spark):
     rng = random.Random(1)
     days = [[("g", rng.gauss(0, 1)) for _ in range(n)] for n in (1, 50, 333)]

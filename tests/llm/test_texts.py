@@ -103,22 +103,47 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(16_384, 512), (64, 32), (200, 40)])
-def test_ids_like_the_whole_text(spark, chunk, overlap):
+@pytest.mark.parametrize("how", [{}, {"chunk": 64, "overlap": 32}, {"chunk": 90, "overlap": 24, "deal": 200, "deal_overlap": 40}, {"deal": 1000, "deal_overlap": 64}])
+def test_ids_like_the_whole_text(spark, how):
     plain = tokenize.encoder(VOCABULARY)._bpe
-    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], 1, "x"), (None, "null key", 1, "x")], "doc_id int, text string, id int, ids string").repartition(3)
-    got = [(r.doc_id, r.ids) for r in tokenize.encode_corpus(docs, chunk=chunk, overlap=overlap).collect()]
-    assert len(got) == len(TEXTS) + 2
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], 1, "x"), (9, TEXTS[9], 1, "x"), (None, "null key", 1, "x")], "doc_id int, text string, id int, ids string").repartition(3)
+    got = [(r.doc_id, r.ids) for r in tokenize.encode_corpus(docs, **how).collect()]
+    assert len(got) == len(TEXTS) + 3
     for i, ids in got:
         assert ids == plain.encode_ordinary("null key" if i is None else TEXTS[i] or ""), i
+    counted = sorted((str(r.doc_id), r.n_tokens) for r in tokenize.count_tokens(docs, **how).collect())
+    assert counted == sorted((str(i), len(ids)) for i, ids in got)
+
+
+ODD = st.text(alphabet=st.one_of(st.sampled_from(" \t\n\xa0'aB1.,é漢\x1c\x85"), st.characters(blacklist_categories=["Cs"])), max_size=80)
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.one_of(st.sampled_from(" \t\n\xa0'aB1.,é漢"), st.characters(blacklist_categories=["Cs"])), max_size=80))
+@given(ODD)
 def test_pieces_encode_and_decode_exactly(text):
     enc = tokenize.encoder(VOCABULARY)
-    ids = list(enc.ids(text))
-    assert ids == enc._bpe.encode_ordinary(text) and enc.count(text) == len(ids) and enc.decode(ids) == text
+    for chunk, overlap in ((1024, 64), (12, 11), (16, 12)):
+        ids = list(enc.ids(text, chunk, overlap))
+        assert ids == enc._bpe.encode_ordinary(text) and enc.count(text, chunk, overlap) == len(ids) and enc.decode(ids) == text
+
+
+def test_chunks_of_real_texts_are_stitched():
+    import pyarrow.parquet as pq
+
+    seams, texts = [], pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()
+    stitched = 0
+    for t in filter(None, texts):
+        before = len(seams)
+        assert tokenize.pretokens(t, seams=seams) == tokenize._find(t)
+        stitched += len(seams) > before
+    assert len(seams) > 500 and stitched > len(texts) / 2
+
+
+def test_only_the_overlap_without_a_boundary_is_widened():
+    seams: list[int] = []
+    text = "plain words " * 500 + "x" * 5000 + " plain words" * 500
+    assert tokenize.pretokens(text, seams=seams) == tokenize._find(text)
+    assert seams.count(64) >= 6 and 1 <= sum(w > 64 for w in seams) <= 4
 
 
 def test_same_ids_as_the_other_file():
