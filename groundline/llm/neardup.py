@@ -1,13 +1,16 @@
 """Near-duplicate texts by a signature-coordinate inverted join.
 
-Each text's set of word shingles gets a signature of min-wise coordinates. Texts are posted under coordinate values,
-R coordinates to a posting key (the prefix: sharing one key is needed to be merged at all); postings of one key are
-merged, and the collisions of two signatures are counted over all coordinates. Pairs that stay below the match
-threshold are skipped, the rest is kept once and checked exactly against the sets themselves.
-
-Copies of one text are one class: they make the same postings, which are reduced to one within each batch and again
-within each bucket, so a group of copies never makes pairs. Postings travel packed, a few bytes each, in buckets of
-keys; a key with very many texts is cut to tiles that are merged in separate tasks.
+Each text's set of word shingles gets a signature of min-wise coordinates, and texts are posted under coordinate-value
+pairs. A pair of texts is wanted if at least MATCHES of its COORDINATES collide. So it shares one of the first
+COORDINATES - MATCHES + 1 pairs of either text in any order all texts agree on, and only this prefix is posted: the
+rarest values first, by a sketch of all values' counts, so that common values are skipped and never form long lists.
+Postings carry the signature's values packed to four bits each; the lists of equal pairs are merged, collisions are
+counted over all coordinates, and pairs below the match threshold are skipped. The rest is kept once and checked
+exactly against the sets themselves.
+
+Copies of one text are one class, signed and posted once, so a group of copies never makes pairs. Postings travel
+packed, a few bytes each, in buckets of keys. A list of very many texts leaves its task as numbered tiles, of a size in
+all that is linear in the list; pairs of tile numbers are then spread over all tasks and merged there.
 """
 
 from __future__ import annotations
@@ -17,24 +20,28 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundline.runtime import broadcast_if_small, materialise
 
-#: Coordinates to a posting key, and keys. A pair of similarity s shares no key with probability (1 - s**R)**KEYS.
-R, KEYS = 3, 24
-COORDINATES = R * KEYS
-#: Of the first coordinates, two bits each are compared; a pair is kept from MATCHES agreeing ones on. At the
-#: similarity 0.6, 0.7 of them agree: 45 of 64 on average, deviation 3.7.
-COMPARED, MATCHES = 64, 31
-#: Texts of one key that are merged in one task; beyond that the key is cut to tiles of this size.
+#: Coordinates of a signature, and the collisions from which a pair is kept. A pair of similarity s collides in a
+#: binomial number of coordinates: at 0.6 fewer than 12 of 32 with probability 0.3 %, at 0.7 below 0.002 %.
+COORDINATES, MATCHES = 32, 12
+#: Cells of the sketch of all values' counts, of bounded size whatever the number of texts; and its slices.
+CELLS, SLICE = 1 << 20, 1 << 12
+#: Texts of one list that are merged in one task; a longer list is cut to tiles of this size.
 TILE = 4096
-#: Postings of one bucket (a task's share) aimed at.
-BUCKET_POSTINGS = 1_500_000
+#: Postings of one bucket (a task's share) aimed at, and held in memory before long lists are taken out.
+BUCKET_POSTINGS, HELD_POSTINGS = 1_500_000, 6_000_000
 
-POSTING = np.dtype([("key", "<u8"), ("id", "<i8"), ("lo", "<u8"), ("hi", "<u8")])
-_EVEN = np.uint64(0x5555555555555555)
+#: A posting within its bucket: 32 bits of the coordinate-value pair, the text's number, its packed signature.
+POSTING = np.dtype([("key", "<u4"), ("row", "<u4"), ("lo", "<u8"), ("hi", "<u8")])
+#: The same with the text's full number, as merged.
+HELD = np.dtype([("key", "<u8"), ("id", "<i8"), ("lo", "<u8"), ("hi", "<u8")])
+_ONES = np.uint64(0x1111111111111111)
+#: The part of a text's number that a posting holds; the rest is its blob's base.
+_LOW = np.int64(0xFFFFFFFF)
 
 
 @lru_cache(maxsize=1)
@@ -120,148 +127,254 @@ def signatures(texts: list[str | None], width: int, seed: int = 7) -> tuple[np.n
     return rows, out
 
 
-def _packed_bits(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two bits of each coordinate, 32 coordinates to a word."""
-    # the minimum's low bits are the ones that tell values apart
-    two = (_mix(sig.astype(np.uint64)) & np.uint64(3)).astype(np.uint64)
-    words_ = []
-    for part in (two[:, :32], two[:, 32:COMPARED]):
+def _pairs_hashed(sig: np.ndarray) -> np.ndarray:
+    """The coordinate-value pairs of signatures, hashed to 64 bits."""
+    coordinate = (np.arange(1, sig.shape[1] + 1, dtype=np.uint64) << np.uint64(32))[None, :]
+    return _mix(sig.astype(np.uint64) | coordinate)
+
+
+def _packed(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Four bits of each coordinate's value, 16 coordinates to a word."""
+    four = _mix(sig.astype(np.uint64)) & np.uint64(15)
+    out = []
+    for part in (four[:, :16], four[:, 16:]):
         word = np.zeros(len(sig), np.uint64)
         for k in range(part.shape[1]):
-            word |= part[:, k] << np.uint64(2 * k)
-        words_.append(word)
-    return words_[0], words_[1]
-
-
-def postings(ids: np.ndarray, texts: list[str | None], width: int) -> np.ndarray:
-    """Postings (key, id, signature bits) of a batch; equal ones, from copies, are reduced to one."""
-    _, first = np.unique(ids, return_index=True)
-    ids, texts = ids[first], [texts[i] for i in first]
-    rows, sig = signatures(texts, width)
-    lo, hi = _packed_bits(sig)
-    out = np.empty((KEYS, len(rows)), POSTING)
-    for b in range(KEYS):
-        key = np.full(len(rows), b + 1, np.uint64)
-        for r in range(R):
-            key = key * np.uint64(0x9E3779B97F4A7C15) + sig[:, b * R + r]
-        out[b]["key"], out[b]["id"], out[b]["lo"], out[b]["hi"] = _mix(key), ids[rows], lo, hi
+            word |= part[:, k] << np.uint64(4 * k)
+        out.append(word)
+    return out[0], out[1]
+
+
+def _sign_batches(width: int):
+    """Rows (h1, h2, text) -> (h1, h2, signature); copies within a batch are signed once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)], 1)
+            first = np.unique(h, axis=0, return_index=True)[1]
+            texts = batch.column(2).take(pa.array(first)).to_pylist()
+            rows, sig = signatures(texts, width)
+            bytes_ = pa.array([r.tobytes() for r in sig], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(h[first][rows, 0]), pa.array(h[first][rows, 1]), bytes_], ["h1", "h2", "signature"])
+
+    return run
+
+
+def _as_matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), COORDINATES)
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Signatures of a partition -> its counts of the sketch's cells, slice by slice."""
+    cells = np.zeros(CELLS, np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            cells += np.bincount((_pairs_hashed(_as_matrix(batch.column(0))) % np.uint64(CELLS)).astype(np.int64).ravel(), minlength=CELLS)
+    if cells.any():
+        parts = cells.reshape(-1, SLICE)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.astype(np.int32).tobytes() for p in parts], pa.binary())], ["slice", "counts"])
+
+
+def _added_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            total[k] = total.get(k, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
+    # an order of the values is all that is wanted of the counts
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(t, 2**31 - 1).astype(np.int32).tobytes() for t in total.values()], pa.binary())], ["slice", "counts"])
+
+
+def value_counts(signed: DataFrame) -> np.ndarray:
+    """The sketch: how often the values that hash to a cell occur in all signatures; CELLS numbers in any case."""
+    counted = signed.select("signature").mapInArrow(_count_batches, "slice int, counts binary").repartition("slice").mapInArrow(_added_slices, "slice int, counts binary")
+    out = np.zeros((CELLS // SLICE, SLICE), np.int32)
+    for r in counted.collect():
+        out[r["slice"]] = np.frombuffer(r["counts"], np.int32)
+    return out.ravel()
+
+
+def postings(ids: np.ndarray, sig: np.ndarray, counts: np.ndarray, matches: int) -> np.ndarray:
+    """Postings of signatures under the rarest of their coordinate-value pairs."""
+    pairs, size = _pairs_hashed(sig), sig.shape[1] - matches + 1
+    seen = counts[pairs % np.uint64(len(counts))].astype(np.uint64)
+    # rarest first, and among equals in the order of the pair: the same order for all texts
+    order = np.argsort((np.minimum(seen, np.uint64(2**31 - 1)) << np.uint64(32)) | (pairs >> np.uint64(32)), axis=1, kind="stable")[:, :size]
+    lo, hi = _packed(sig)
+    out = np.empty((size, len(sig)), HELD)
+    out["key"], out["id"], out["lo"], out["hi"] = np.take_along_axis(pairs, order, 1).T, ids, lo, hi
     return out.reshape(-1)
 
 
-def _post_batches(width: int, buckets: int):
+def _post_batches(counts: np.ndarray, buckets: int, matches: int):
+    """Signatures (id, signature) -> packed postings (bucket, base, blob); ``base`` is added to a blob's row numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = postings(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist(), width)
-            if not len(p):
-                continue
-            bucket = (p["key"] % np.uint64(buckets)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            p, bucket = p[order], bucket[order]
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            blobs = [p[a:b].tobytes() for a, b in zip(starts, np.r_[starts[1:], len(p)], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            all_ids = batch.column(0).to_numpy(zero_copy_only=False)
+            matrix = _as_matrix(batch.column(1))
+            for base in np.unique(all_ids & ~_LOW):
+                yield pack(all_ids[all_ids & ~_LOW == base] & _LOW, base, matrix[all_ids & ~_LOW == base])
+
+    def pack(ids: np.ndarray, base: int, matrix: np.ndarray) -> pa.RecordBatch:
+        wide = postings(ids, matrix, counts, matches)
+        bucket = (wide["key"] % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        wide, bucket = wide[order], bucket[order]
+        p = np.empty(len(wide), POSTING)
+        p["key"], p["row"], p["lo"], p["hi"] = wide["key"] >> np.uint64(32), wide["id"], wide["lo"], wide["hi"]
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        blobs = [p[a:b].tobytes() for a, b in zip(starts, np.r_[starts[1:], len(p)], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(np.full(len(starts), base)), pa.array(blobs, pa.binary())], ["bucket", "base", "blob"])
 
     return run
 
 
-def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Number of agreeing coordinates of signatures a and b."""
-    n = np.zeros(len(a), np.int64)
+def _collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of coordinates in which signatures a and b agree."""
+    n = np.full(len(a), COORDINATES, np.int64)
     for f in ("lo", "hi"):
         x = a[f] ^ b[f]
-        n += np.bitwise_count((x | (x >> np.uint64(1))) & _EVEN)
-    return COMPARED - n
+        x |= x >> np.uint64(2)
+        x |= x >> np.uint64(1)
+        n -= np.bitwise_count(x & _ONES)
+    return n
 
 
-def _merge_runs(p: np.ndarray, run_end: np.ndarray, matches: int) -> Iterator[np.ndarray]:
-    """Pairs (id, id) within runs of one key whose signatures match: element k against k + d, for growing d."""
+def _merge_lists(p: np.ndarray, end: np.ndarray, matches: int) -> Iterator[np.ndarray]:
+    """Pairs (id, id) within sorted lists of one key: element k against k + d, for growing d; lists that are through
+    are skipped, and so are pairs with too few collisions."""
     live = np.arange(len(p))
     d = 1
     while len(live):
-        live = live[live + d < run_end[live]]
+        live = live[live + d < end[live]]
         for a in range(0, len(live), 1 << 20):
             i = live[a : a + (1 << 20)]
-            hit = i[_agree(p[i], p[i + d]) >= matches]
+            hit = i[_collisions(p[i], p[i + d]) >= matches]
             if len(hit):
                 yield np.stack([p["id"][hit], p["id"][hit + d]], 1)
         d += 1
 
 
-def _pair_batch(pairs: list[np.ndarray], tiles: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+def _pair_batch(pairs: list[np.ndarray]) -> pa.RecordBatch:
     ab = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
     ab = np.unique(np.sort(ab, axis=1), axis=0)
     ab = ab[ab[:, 0] != ab[:, 1]]
-    n, t = len(ab), len(tiles)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.r_[ab[:, 0], np.arange(t)]), pa.array([*ab[:, 1].tolist(), *[None] * t], pa.int64()),
-            pa.array([*[None] * n, *(x for x, _ in tiles)], pa.binary()), pa.array([*[None] * n, *(y for _, y in tiles)], pa.binary()),
-        ],
-        ["a", "b", "left", "right"],
-    )
-
-
-def _merge_batches(matches: int, tile: int):
-    """Rows (bucket, blob) sorted by bucket -> pairs (a, b), and tiles of keys with more than ``tile`` texts."""
-
-    def merge(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        p = np.frombuffer(b"".join(blobs), POSTING)
-        order = np.lexsort((p["id"], p["key"]))
-        p = p[order]
-        new = np.r_[True, (p["key"][1:] != p["key"][:-1]) | (p["id"][1:] != p["id"][:-1])]
-        p = p[new]
-        starts = np.flatnonzero(np.r_[True, p["key"][1:] != p["key"][:-1]])
-        sizes = np.diff(np.r_[starts, len(p)])
-        end = np.repeat(starts + sizes, sizes)
-        keep = np.repeat((sizes > 1) & (sizes <= tile), sizes)
-        shift = np.cumsum(~keep)
-        small = p[keep]
-        pairs = list(_merge_runs(small, end[keep] - shift[keep], matches))
-        if pairs:
-            yield _pair_batch(pairs, [])
-        for s in np.flatnonzero(sizes > tile):
-            run = p[starts[s] : starts[s] + sizes[s]]
-            cuts = [run[a : a + tile].tobytes() for a in range(0, len(run), tile)]
-            for i, x in enumerate(cuts):
-                for y in cuts[i:]:
-                    yield _pair_batch([], [(x, y)])
+    n = len(ab)
+    return pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], ["a", "b", "list", "tile", "blob"])
+
+
+def _tile_batch(key: int, number: int, p: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([key], pa.int64()), pa.array([number], pa.int32()), pa.array([p.tobytes()], pa.binary())], ["a", "b", "list", "tile", "blob"])
+
+
+_MERGED = "a bigint, b bigint, list bigint, tile int, blob binary"
+
+
+def _merge_batches(matches: int, tile: int, held_most: int):
+    """Rows (bucket, base, blob) sorted by bucket -> pairs (a, b), and numbered tiles of lists of more than ``tile`` texts.
+
+    A long list is taken out as soon as what is held grows too large, and what comes for it later is passed on in
+    tiles, so a task never holds more than its bucket's short lists and a bound.
+    """
+
+    class Bucket:
+        def __init__(self, number: int):
+            self.number, self.parts, self.size, self.long, self.tiles = number, [], 0, {}, {}
+
+        def add(self, base: int, blob: bytes) -> Iterator[pa.RecordBatch]:
+            p = np.frombuffer(blob, POSTING)
+            held = np.empty(len(p), HELD)
+            held["key"], held["id"], held["lo"], held["hi"] = p["key"], p["row"].astype(np.int64) + base, p["lo"], p["hi"]
+            self.parts.append(held)
+            self.size += len(held)
+            if self.size > held_most:
+                yield from self.without_long()
+
+        def without_long(self) -> Iterator[pa.RecordBatch]:
+            p = np.concatenate(self.parts)
+            p = p[np.argsort(p["key"], kind="stable")]
+            starts = np.flatnonzero(np.r_[True, p["key"][1:] != p["key"][:-1]])
+            sizes = np.diff(np.r_[starts, len(p)])
+            keys = p["key"][starts]
+            known = np.isin(keys, np.fromiter(self.long, np.uint64, len(self.long)))
+            long = (sizes > tile) | known
+            for s in np.flatnonzero(long):
+                key, run = int(keys[s]), p[starts[s] : starts[s] + sizes[s]]
+                run = np.concatenate([self.long[key], run]) if key in self.long else run
+                whole = len(run) // tile * tile
+                for a in range(0, whole, tile):
+                    yield self.tile(key, run[a : a + tile])
+                self.long[key] = run[whole:]
+            kept = p[~np.repeat(long, sizes)]
+            self.parts, self.size = [kept], len(kept)
+
+        def tile(self, key: int, run: np.ndarray) -> pa.RecordBatch:
+            self.tiles[key] = self.tiles.get(key, -1) + 1
+            return _tile_batch((self.number << 32) | key, self.tiles[key], run)
+
+        def finish(self) -> Iterator[pa.RecordBatch]:
+            if not self.parts:
+                return
+            yield from self.without_long()
+            for key, run in self.long.items():
+                if len(run):
+                    yield self.tile(key, run)
+            p = self.parts[0]
+            starts = np.flatnonzero(np.r_[True, p["key"][1:] != p["key"][:-1]]) if len(p) else np.empty(0, np.int64)
+            sizes = np.diff(np.r_[starts, len(p)])
+            # a pair that only one text has is shared by nobody
+            shared = np.repeat(sizes > 1, sizes)
+            end = np.repeat(starts + sizes, sizes) - np.cumsum(~shared)
+            pairs = list(_merge_lists(p[shared], end[shared], matches))
+            if pairs:
+                yield _pair_batch(pairs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, blobs = None, []
+        bucket = None
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if bucket != at and blobs:
-                    yield from merge(blobs)
-                    blobs = []
-                at = bucket
-                blobs.append(blob)
-        if blobs:
-            yield from merge(blobs)
+            for number, base, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if bucket is None or number != bucket.number:
+                    if bucket:
+                        yield from bucket.finish()
+                    bucket = Bucket(number)
+                yield from bucket.add(base, blob)
+        if bucket:
+            yield from bucket.finish()
 
     return run
 
 
-def _tile_batches(matches: int):
-    """Pairs pass through; tiles are merged, each text of the left with each of the right."""
+def _tile_pairs(matches: int):
+    """Rows (left tile, right tile or null for the left one with itself) -> pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tiled = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-            plain = batch.filter(pa.array(~tiled))
-            if plain.num_rows:
-                yield plain.select(["a", "b"])
-            for i in np.flatnonzero(tiled):
-                x, y = np.frombuffer(batch.column(2)[int(i)].as_py(), POSTING), np.frombuffer(batch.column(3)[int(i)].as_py(), POSTING)
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                x = np.frombuffer(x.as_py(), HELD)
+                other = None if y.as_py() is None else np.frombuffer(y.as_py(), HELD)
                 pairs = []
                 for k in range(len(x)):
-                    hit = np.flatnonzero(_agree(np.broadcast_to(x[k : k + 1], len(y)), y) >= matches)
+                    against = x[k + 1 :] if other is None else other
+                    hit = np.flatnonzero(_collisions(np.broadcast_to(x[k : k + 1], len(against)), against) >= matches)
                     if len(hit):
-                        pairs.append(np.stack([np.full(len(hit), x["id"][k]), y["id"][hit]], 1))
-                yield _pair_batch(pairs, []).select(["a", "b"])
+                        pairs.append(np.stack([np.full(len(hit), x["id"][k]), against["id"][hit]], 1))
+                yield _pair_batch(pairs).select(["a", "b"])
 
     return run
 
 
+def numbered_tile_pairs(tiles: DataFrame) -> DataFrame:
+    """All pairs of tile numbers of each long list with their tiles, spread over all tasks: left, right.
+
+    Pairs are numbers until they are joined to their tiles; each has a partition of its own, not its list's.
+    """
+    t = tiles.select("list", "tile", "blob")
+    most = t.groupBy("list").agg(F.max("tile").alias("most"))
+    pairs = most.select("list", F.explode(F.sequence(F.lit(0), "most")).alias("i"), "most").select("list", "i", F.explode(F.sequence("i", "most")).alias("j"))
+    met = pairs.join(t.select("list", F.col("tile").alias("i"), F.col("blob").alias("left")), ["list", "i"]).join(t.select("list", F.col("tile").alias("j"), F.col("blob").alias("right")), ["list", "j"])
+    return met.repartition("list", "i", "j").select("left", F.when(F.col("i") != F.col("j"), F.col("right")).alias("right"))
+
+
 def _similar_batches(width: int, at_least: float):
     """Rows (a, b, text_a, text_b) -> (a, b, similarity) of the pairs whose sets are similar enough."""
 
@@ -282,70 +395,104 @@ def _similar_batches(width: int, at_least: float):
     return run
 
 
-def text_class(text: str):
-    """Class of a text: one value for all its exact copies."""
-    return F.xxhash64(F.col(text))
+def text_class(text: str) -> list[Column]:
+    """Class of a text, h1 and h2: 128 bits, one value for all its exact copies."""
+    return [F.xxhash64(F.col(text)).alias("h1"), F.xxhash64(F.lit(1), F.col(text)).alias("h2")]
+
+
+_CLASS = ["h1", "h2"]
 
 
 def similar_classes(rows: DataFrame, text: str, width: int = 5, at_least: float = 0.8, matches: int = MATCHES, tile: int = TILE) -> DataFrame:
-    """Pairs of different texts with nearly the same set of word shingles: a, b (classes, a < b), similarity.
+    """Pairs of different texts with nearly the same set of word shingles: a1, a2, b1, b2 (their classes), similarity.
 
     Null texts and texts of fewer than ``width`` words have no shingles and are in no pair; copies are one class;
-    empty tables give no pairs. Every pair found is exact; a pair of similarity s is missed with probability
-    (1 - s**R)**KEYS, 0.3 % at 0.6 and below 0.01 % from 0.7 on, besides the 0.02 % that fall below the match threshold.
+    empty tables give no pairs; other columns are not looked at. Every pair found is exact; a pair of similarity s is
+    missed where fewer than ``matches`` coordinates collide, with probability 0.3 % at 0.6 and below 0.002 % from 0.7 on.
     """
-    texts = rows.select(text_class(text).alias("id"), F.col(text).cast("string").alias("text")).where("text is not null")
-    n = rows.count()
-    buckets = max(24, -(-n * KEYS // BUCKET_POSTINGS))
-    posted = texts.mapInArrow(_post_batches(width, buckets), "bucket int, blob binary")
-    merged = posted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_batches(matches, tile), "a bigint, b bigint, left binary, right binary")
-    candidates = merged.repartition(F.col("a"), F.col("b")).mapInArrow(_tile_batches(matches), "a bigint, b bigint").distinct()
-    candidates = materialise(candidates, "candidates")
+    texts = rows.select(*text_class(text), F.col(text).cast("string").alias("text")).where("text is not null")
+    signed = texts.mapInArrow(_sign_batches(width), "h1 bigint, h2 bigint, signature binary").dropDuplicates(_CLASS)
+    signed = materialise(signed.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "signature"), "signatures")
+    counts = value_counts(signed)
+    buckets = max(24, -(-signed.count() * (COORDINATES - matches + 1) // BUCKET_POSTINGS))
+    posted = signed.select("id", "signature").mapInArrow(_post_batches(counts, buckets, matches), "bucket int, base bigint, blob binary")
+    merged = posted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_merge_batches(matches, tile, HELD_POSTINGS), _MERGED)
+    merged = materialise(merged, "merged")
+    candidates, tiles = merged.where("blob is null").select("a", "b"), merged.where("blob is not null")
+    if tiles.head(1):
+        candidates = candidates.unionByName(numbered_tile_pairs(tiles).mapInArrow(_tile_pairs(matches), "a bigint, b bigint"))
+    candidates = materialise(candidates.distinct(), "candidates")
+    n = candidates.count()
     ends = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    few = broadcast_if_small(ends, 2 * candidates.count(), 16)
-    held = texts.join(few, "id", "left_semi").dropDuplicates(["id"])
-    left = candidates.join(held.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
-    both = left.join(held.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_similar_batches(width, at_least), "a bigint, b bigint, similarity double")
+    ends = materialise(signed.select("id", *_CLASS).join(broadcast_if_small(ends, 2 * n, 16), "id"), "ends")
+    # the texts of candidates alone, each class once; no text of any other row moves
+    held = texts.join(broadcast_if_small(ends, 2 * n, 32), _CLASS).dropDuplicates(["id"])
+    both = candidates.join(held.select(F.col("id").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("text").alias("text_a")), "a")
+    both = both.join(held.select(F.col("id").alias("b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("text").alias("text_b")), "b")
+    similar = both.select("a", "b", "text_a", "text_b").mapInArrow(_similar_batches(width, at_least), "a bigint, b bigint, similarity double")
+    named = lambda side: ends.select(F.col("id").alias(side), F.col("h1").alias(f"{side}1"), F.col("h2").alias(f"{side}2"))
+    return similar.join(named("a"), "a").join(named("b"), "b").select("a1", "a2", "b1", "b2", "similarity")
+
+
+def class_members(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """Members of the classes of equal texts: {key}, h1, h2, rep (the class's smallest key), n (its members).
+
+    Rows with a null key or text are in no class; repeated rows count once; a key that comes with several texts is a
+    member of each of their classes.
+    """
+    members = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), *text_class(text)).distinct()
+    sized = members.groupBy(*_CLASS).agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("n"))
+    return members.join(sized, _CLASS).select(F.col("k").alias(key), *_CLASS, "rep", "n")
+
+
+def similar_links(rows: DataFrame, key: str, text: str, width: int = 5, at_least: float = 0.8, **how: int) -> DataFrame:
+    """Pairs of classes with nearly the same text by their representatives: {key}_a, {key}_b (smaller first), similarity.
+
+    With class_members this states every link, whatever the number of copies.
+    """
+    links = materialise(similar_classes(rows, text, width, at_least, **how), "links")
+    reps = class_members(rows, key, text).select(*_CLASS, "rep").distinct()
+    named = links.join(reps.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("rep").alias("x")), ["a1", "a2"]).join(reps.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("rep").alias("y")), ["b1", "b2"])
+    return named.where("x <> y").groupBy(F.least("x", "y").alias(f"{key}_a"), F.greatest("x", "y").alias(f"{key}_b")).agg(F.max("similarity").alias("similarity"))
 
 
 #: Members of a class (or product of two classes' members) up to which all pairs of copies are written out.
 COPY_PAIRS = 4096
 
 
-def similar_pairs(rows: DataFrame, key: str, text: str, width: int = 5, at_least: float = 0.8, copy_pairs: int = COPY_PAIRS) -> DataFrame:
+def similar_pairs(rows: DataFrame, key: str, text: str, width: int = 5, at_least: float = 0.8, copy_pairs: int = COPY_PAIRS, **how: int) -> DataFrame:
     """Pairs of different keys with nearly the same text: {key}_a, {key}_b (smaller first).
 
     Pairs of classes are carried over to their members. Up to ``copy_pairs`` pairs from one pair of classes (or one
-    class) are all written out; beyond that, groups of exact copies come as a star: every member is linked to its
-    class's smallest key, and the smallest keys of similar classes to each other, so no link between different texts
-    is lost and a group of copies never grows by its square. Rows with a null key are in no pair; repeated rows count
-    once; a key that comes with several texts is a member of each of their classes.
+    class) all are written out; groups of exact copies beyond that come as a star: every member is linked to its
+    class's smallest key, and the smallest keys of similar classes to each other. No link between different texts is
+    lost, and a group of copies never grows by its square; similar_links and class_members state the same for any
+    number of copies without a limit. Null and repeated keys are taken as class_members does.
     """
-    members = rows.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(text_class(text).alias("id"), F.col(key).alias("k")).distinct()
-    links = materialise(similar_classes(rows, text, width, at_least).select("a", "b"), "links")
-    count = members.groupBy("id").agg(F.count(F.lit(1)).alias("m"), F.min("k").alias("rep"))
-    copied = count.where("m > 1")
+    links = materialise(similar_classes(rows, text, width, at_least, **how).select("a1", "a2", "b1", "b2"), "links")
+    members = class_members(rows, key, text).withColumnRenamed(key, "k")
     # copies of a text without shingles are similar to nothing
-    spoken = rows.where(F.col(text).isNotNull()).select(text_class(text).alias("id"), F.col(text).alias("text")).join(copied.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    spoken = spoken.mapInArrow(_has_shingles(width), "id bigint")
-    copied = copied.join(spoken, "id", "left_semi")
-    sized = links.join(count.select(F.col("id").alias("a"), F.col("m").alias("m_a"), F.col("rep").alias("rep_a")), "a").join(count.select(F.col("id").alias("b"), F.col("m").alias("m_b"), F.col("rep").alias("rep_b")), "b")
-    wide = F.col("m_a") * F.col("m_b") <= copy_pairs
-    m_a, m_b = members.select(F.col("id").alias("a"), F.col("k").alias("k_a")), members.select(F.col("id").alias("b"), F.col("k").alias("k_b"))
-    full = sized.where(wide).select("a", "b").join(m_a, "a").join(m_b, "b").select("k_a", "k_b")
-    reps = sized.where(~wide).select(F.col("rep_a").alias("k_a"), F.col("rep_b").alias("k_b"))
-    own = copied.where(F.col("m") * F.col("m") <= copy_pairs).select(F.col("id").alias("a"))
-    within = own.join(m_a, "a").join(m_a.select("a", F.col("k_a").alias("k_b")), "a").select("k_a", "k_b")
-    star = copied.where(F.col("m") * F.col("m") > copy_pairs).select(F.col("id").alias("a"), F.col("rep").alias("k_b")).join(m_a, "a").select("k_a", "k_b")
-    pairs = full.unionByName(reps).unionByName(within).unionByName(star).where("k_a <> k_b")
+    copied = members.where("n > 1")
+    spoken = rows.where(F.col(text).isNotNull()).select(*text_class(text), F.col(text).alias("text")).join(copied.select(*_CLASS).distinct(), _CLASS, "left_semi").dropDuplicates(_CLASS)
+    copied = copied.join(spoken.mapInArrow(_has_shingles(width), "h1 bigint, h2 bigint"), _CLASS, "left_semi")
+    side = lambda s: members.select(F.col("h1").alias(f"{s}1"), F.col("h2").alias(f"{s}2"), F.col("k").alias(f"k_{s}"), F.col("rep").alias(f"rep_{s}"), F.col("n").alias(f"n_{s}"))
+    # of a class with too many members only the representative goes on
+    sizes = members.select(*_CLASS, "n").distinct()
+    sized = links.join(sizes.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("n").alias("m_a")), ["a1", "a2"]).join(sizes.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("n").alias("m_b")), ["b1", "b2"])
+    sized = sized.select("a1", "a2", "b1", "b2", (F.col("m_a") * F.col("m_b") <= copy_pairs).alias("all"))
+    across = sized.join(side("a"), ["a1", "a2"]).where("all or k_a = rep_a").join(side("b"), ["b1", "b2"]).where("all or k_b = rep_b").select("k_a", "k_b")
+    few = F.col("n") * F.col("n") <= copy_pairs
+    own = copied.where(few).select(*_CLASS, F.col("k").alias("k_a"))
+    within = own.join(own.withColumnRenamed("k_a", "k_b"), _CLASS).select("k_a", "k_b")
+    star = copied.where(~few).select(F.col("k").alias("k_a"), F.col("rep").alias("k_b"))
+    pairs = across.unionByName(within).unionByName(star).where("k_a <> k_b")
     return pairs.select(F.least("k_a", "k_b").alias(f"{key}_a"), F.greatest("k_a", "k_b").alias(f"{key}_b")).distinct()
 
 
 def _has_shingles(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [len(words(t)) >= width for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok, pa.bool_()))], ["id"])
+            ok = pa.array([len(words(t)) >= width for t in batch.column(2).to_pylist()], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], _CLASS)
 
     return run

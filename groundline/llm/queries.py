@@ -28,6 +28,17 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, d, "chunks", "chunk_id", "text", busy=True), "chunk_id", "text", width=3, at_least=0.6)
 
 
+def p4_links(spark: SparkSession, d: str) -> DataFrame:
+    """The same links between classes of copies alone, with their similarity."""
+    links = neardup.similar_links(table(spark, d, "chunks", "chunk_id", "text", busy=True), "chunk_id", "text", width=3, at_least=0.6)
+    return links.withColumn("similarity", F.round("similarity", 9))
+
+
+def p4_members(spark: SparkSession, d: str) -> DataFrame:
+    """The class of copies that each chunk belongs to, by its smallest chunk_id."""
+    return neardup.class_members(table(spark, d, "chunks", "chunk_id", "text"), "chunk_id", "text").select("chunk_id", "rep", "n")
+
+
 def _measures(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of latency_ms and groundedness by day and strategy; each query_id counts once."""
     log = table(spark, d, "query_log").select("query_id", "strategy", "created_at", "latency_ms", "groundedness")
@@ -84,6 +95,6 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_units(table(spark, d, "documents", "doc_id", "text", busy=True))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_survivors, p3_found, p4_found, p5_found, p5_percentiles, p6_ids, p7_mix, p7_shares, p8_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_survivors, p3_found, p4_found, p4_links, p4_members, p5_found, p5_percentiles, p6_ids, p7_mix, p7_shares, p8_found)}
 
 __all__ = ["QUERIES", "SQL"]

@@ -48,10 +48,23 @@ SELECT log_day, strategy, measure, p, n, vs[greatest(1, CAST(ceil(p * n - 1e-9)
 SQL = {"p2_found": _BEST, "p3_found": _TOP, "p5_found": _FOUND, "p5_percentiles": _PERCENTILES}
 
 # all pairs that share a shingle, counted: exact, and feasible for the small tables only
-SQL["p4_found"] = r"""
-WITH c AS (SELECT DISTINCT chunk_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL),
-s AS (SELECT chunk_id, w, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM c WHERE len(w) >= 3),
-u AS (SELECT hash(w) AS k, chunk_id, len(s) AS n, unnest(s) AS g FROM s),
+_SHARED = r"""
+WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL),
+w AS (SELECT chunk_id, text, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM c),
+s AS (SELECT chunk_id, text, w, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= 3),
+"""
+
+SQL["p4_found"] = _SHARED + """u AS (SELECT hash(w) AS k, chunk_id, len(s) AS n, unnest(s) AS g FROM s),
 p AS (SELECT a.chunk_id AS x, b.chunk_id AS y, a.k AS ka, b.k AS kb, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS shared FROM u a JOIN u b ON a.g = b.g AND a.chunk_id < b.chunk_id GROUP BY ALL)
 SELECT DISTINCT x AS chunk_id_a, y AS chunk_id_b FROM p WHERE shared >= 0.6 * (n + m - shared) - 1e-9
 """
+
+SQL["p4_links"] = _SHARED + """r AS (SELECT text, min(chunk_id) AS rep FROM c GROUP BY 1), u AS (SELECT r.rep, any_value(len(s)) AS n, unnest(any_value(s)) AS g FROM s JOIN r USING (text) GROUP BY r.rep, text),
+p AS (SELECT a.rep AS x, b.rep AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS shared FROM u a JOIN u b ON a.g = b.g AND a.rep < b.rep GROUP BY ALL)
+SELECT x AS chunk_id_a, y AS chunk_id_b, round(shared / (n + m - shared), 9) AS similarity FROM p WHERE shared >= 0.6 * (n + m - shared) - 1e-9
+"""
+
+SQL["p4_members"] = """
+WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE chunk_id IS NOT NULL AND text IS NOT NULL)
+SELECT chunk_id, min(chunk_id) OVER w AS rep, count(*) OVER w AS n FROM c WINDOW w AS (PARTITION BY text)
+"""

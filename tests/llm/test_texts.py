@@ -64,10 +64,55 @@ def test_copies_beyond_the_limit_form_a_star(spark):
     assert got == {("a00", f"a{i:02d}") for i in range(1, 20)} | {("a00", "b0"), ("b0", "b1")}
 
 
-def test_keys_with_many_texts_are_tiled(spark):
+def test_lists_with_many_texts_are_tiled_over_partitions(spark, monkeypatch):
     base = " ".join(f"w{i}" for i in range(80))
     df = spark.createDataFrame([(f"k{i:02d}", f"{base} tail{i}") for i in range(60)], "chunk_id string, text string")
-    assert neardup.similar_classes(df, "text", 3, 0.6, tile=8).count() == 60 * 59 // 2
+    seen = []
+
+    def spied(tiles, f=neardup.numbered_tile_pairs):
+        out = f(tiles)
+        seen.append((tiles.groupBy("list").count().agg(F.max("count")).first()[0], out.select(F.spark_partition_id()).distinct().count(), tiles.agg(F.sum(F.length("blob"))).first()[0]))
+        return out
+
+    monkeypatch.setattr(neardup, "numbered_tile_pairs", spied)
+    monkeypatch.setattr(neardup, "HELD_POSTINGS", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert neardup.similar_classes(df, "text", 3, 0.6, tile=8).count() == 60 * 59 // 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    most_tiles, partitions, size = seen[0]
+    # tiles of one list go to several partitions, and what leaves the lists' own task is linear in their texts
+    assert most_tiles >= 8 and partitions >= 3 and size <= 60 * (neardup.COORDINATES - neardup.MATCHES + 1) * neardup.HELD.itemsize
+
+
+def test_the_rarest_values_are_posted():
+    rng = np.random.default_rng(0)
+    sig = rng.integers(0, 2**32, (500, neardup.COORDINATES), dtype=np.uint32)
+    sig[:, :20] = sig[0, :20]  # values that all texts have
+    counts = np.bincount((neardup._pairs_hashed(sig) % np.uint64(neardup.CELLS)).astype(np.int64).ravel(), minlength=neardup.CELLS).astype(np.int32)
+    p = neardup.postings(np.arange(500), sig, counts, 12).reshape(-1, 500)
+    # 21 are posted: the 12 of a text's own first, common ones only behind them
+    assert len(p) == 21 and all(len(np.unique(p["key"][i])) >= 499 for i in range(12)) and len(np.unique(p["key"][12:])) <= 10
+
+
+def test_links_and_members_state_all(spark):
+    t, u = "one two three four five six seven eight nine ten", "one two three four five six seven eight nine eleven"
+    rows = [(f"a{i:02d}", t) for i in range(20)] + [("b0", u), ("b1", u), ("c", "else"), (None, t), ("d", None), ("b0", u)]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "chunk_id string, text string, h1 int, rep string")
+    assert [tuple(r)[:2] for r in neardup.similar_links(df, "chunk_id", "text", 3, 0.6).collect()] == [("a00", "b0")]
+    members = sorted((r.chunk_id, r.rep, r.n) for r in neardup.class_members(df, "chunk_id", "text").collect())
+    assert members == [(f"a{i:02d}", "a00", 20) for i in range(20)] + [("b0", "b0", 2), ("b1", "b0", 2), ("c", "c", 1)]
+
+
+def test_numbers_of_several_files_in_one_batch():
+    import pyarrow as pa
+
+    sig = np.arange(4 * neardup.COORDINATES, dtype=np.uint32).reshape(4, -1)
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 1 << 33, (1 << 33) + 5]), pa.array([r.tobytes() for r in sig], pa.binary())], ["id", "signature"])
+    out = list(neardup._post_batches(np.zeros(neardup.CELLS, np.int32), 2, 12)(iter([batch])))
+    got = {int(r["row"]) + base for b in out for base, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist()) for r in np.frombuffer(blob, neardup.POSTING)}
+    assert got == {0, 1, 1 << 33, (1 << 33) + 5}
 
 
 def test_nothing_is_similar_to_nothing(spark):
