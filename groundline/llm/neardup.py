@@ -270,6 +270,12 @@ def _tile_batch(key: int, number: int, p: np.ndarray) -> pa.RecordBatch:
 _MERGED = "a bigint, b bigint, list bigint, tile int, blob binary"
 
 
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the runs of equal keys."""
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[: len(keys)]
+    return starts, np.diff(np.r_[starts, len(keys)])
+
+
 def _merge_batches(matches: int, tile: int, held_most: int):
     """Rows (bucket, base, blob) sorted by bucket -> pairs (a, b), and numbered tiles of lists of more than ``tile`` texts.
 
@@ -293,8 +299,7 @@ def _merge_batches(matches: int, tile: int, held_most: int):
         def without_long(self) -> Iterator[pa.RecordBatch]:
             p = np.concatenate(self.parts)
             p = p[np.argsort(p["key"], kind="stable")]
-            starts = np.flatnonzero(np.r_[True, p["key"][1:] != p["key"][:-1]])
-            sizes = np.diff(np.r_[starts, len(p)])
+            starts, sizes = _runs(p["key"])
             keys = p["key"][starts]
             known = np.isin(keys, np.fromiter(self.long, np.uint64, len(self.long)))
             long = (sizes > tile) | known
@@ -320,8 +325,7 @@ def _merge_batches(matches: int, tile: int, held_most: int):
                 if len(run):
                     yield self.tile(key, run)
             p = self.parts[0]
-            starts = np.flatnonzero(np.r_[True, p["key"][1:] != p["key"][:-1]]) if len(p) else np.empty(0, np.int64)
-            sizes = np.diff(np.r_[starts, len(p)])
+            starts, sizes = _runs(p["key"])
             # a pair that only one text has is shared by nobody
             shared = np.repeat(sizes > 1, sizes)
             end = np.repeat(starts + sizes, sizes) - np.cumsum(~shared)
