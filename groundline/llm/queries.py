@@ -92,7 +92,7 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentence_units(table(spark, d, "documents", "doc_id", "text", busy=True))
+    return sentences.sentence_units(table(spark, d, "documents", "doc_id", "text", "lang", busy=True), lang="lang")
 
 
 QUERIES = {f.__name__: f for f in (p2_found, p2_survivors, p3_found, p4_found, p4_links, p4_members, p5_found, p5_percentiles, p6_ids, p7_mix, p7_shares, p8_found)}

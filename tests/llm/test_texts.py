@@ -310,6 +310,8 @@ def test_units_of_a_table(spark):
     got = sorted((tuple(r) for r in sentences.sentence_units(docs).collect()), key=str)
     assert got == [(1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9), (None, 0, 4)]
     assert sentences.sentence_units(docs.limit(0)).count() == 0
+    said = spark.createDataFrame([(1, "One. Two.", "xx"), (2, "One. Two.", None)], "doc_id int, text string, lang string")
+    assert sentences.sentence_units(said, lang="lang").count() == 4
 
 
 def test_long_text_is_linear():
@@ -321,6 +323,49 @@ def test_long_text_is_linear():
     assert time.process_time() - t < 20
 
 
+SCRIPTS = {
+    "Armenian": ["Երեւան։", "Մեծ է։", "Այո։"], "Ethiopic": ["ሰላም።", "ነው።", "እሺ"], "Khmer": ["ខ្ញុំ។", "ទៅ។", "ផ្ទះ"], "Burmese": ["မြန်မာ။", "ကောင်း။", "အိုကေ"],
+    "Tibetan": ["བོད།", "ཡིག།", "ད"], "doubled": ["What‼", "Now⁉", "Yes"], "wide": ["全角．", "終わり．", "はい３．５です"], "Han before a digit or letter": ["收入增长。", "2019年下降！", "a组"],
+}
+
+
+@pytest.mark.parametrize("script", list(SCRIPTS))
+def test_terminators_of_all_scripts(script):
+    for gap in (" ", "  ") if not script.startswith(("wide", "Han")) else ("", " "):
+        text = gap.join(SCRIPTS[script])
+        assert [text[a:b] for a, b in sentences.spans(text)] == SCRIPTS[script]
+
+
+def test_every_terminator_and_closer_of_the_property_data():
+    for c in sentences.STOPS:
+        if c not in ".…":
+            text = f"Aa{c} Bb"
+            assert len(sentences.spans(text)) == 2, hex(ord(c))
+    for c in sentences.CLOSERS:
+        if c not in sentences.QUOTES and c not in "'’":
+            text = f"Aa!{c} Bb"
+            assert sentences.spans(text)[0] == (0, 4), hex(ord(c))
+
+
+def test_abbreviations_follow_the_language():
+    english, german = "This is of the plant and of the hall. It was no z. Bigger ones are in the north.", "Das ist die Halle und der Hof, z. B. von der Firma."
+    assert len(sentences.spans(english, "en")) == 3 and len(sentences.spans(english)) == 3
+    assert len(sentences.spans(german, "de")) == 1 and len(sentences.spans(german, "en")) == 1 and len(sentences.spans(german)) == 1
+    assert sentences.languages_of("short", None) == frozenset(sentences.TOLD_BY) and sentences.languages_of(english, "DE-at") == {"en", "de"}
+
+
+def test_quoted_text_costs_twice_for_twice_the_length():
+    import time
+
+    took = []
+    for times in (1, 4):
+        text = 'He said "go on. And on" then, "why. Not" said it. ' * 4000 * times + '"'
+        began = time.process_time()
+        sentences.spans(text)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 0.5
+
+
 def test_uniform_is_uniform(spark):
     u = [r[0] for r in spark.range(2000).select(mixing.uniform(1, F.col("id"))).collect()]
     assert 0 < min(u) and max(u) < 1 and abs(np.mean(u) - 0.5) < 0.03
