@@ -28,6 +28,8 @@ from groundline.runtime import broadcast_if_small, materialise
 #: Coordinates of a signature, and the collisions from which a pair is kept. A pair of similarity s collides in a
 #: binomial number of coordinates: at 0.6 fewer than 12 of 32 with probability 0.3 %, at 0.7 below 0.002 %.
 COORDINATES, MATCHES = 32, 12
+#: Collisions as counted, on four bits of each value: by chance one more than on the values themselves.
+CHANCE = 1
 #: Cells of the sketch of all values' counts, of bounded size whatever the number of texts; and its slices.
 CELLS, SLICE = 1 << 20, 1 << 12
 #: Texts of one list that are merged in one task; a longer list is cut to tiles of this size.
@@ -97,14 +99,14 @@ def _multipliers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
-def signatures(texts: list[str | None], width: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the texts that have a shingle, and their COORDINATES min-wise values (uint32)."""
+def shingle_hashes(texts: list[str | None], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the texts that have a shingle, the 64-bit hashes of all their shingles, and where each row's begin."""
     table = _word_hash()
     lists = [words(t) for t in texts]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     rows = np.flatnonzero(sizes >= width)
     if not len(rows):
-        return rows, np.empty((0, COORDINATES), np.uint32)
+        return rows, np.empty(0, np.uint64), np.empty(0, np.int64)
     flat = np.fromiter((table[w] for i in rows for w in lists[i]), np.uint64, int(sizes[rows].sum()))
     h = flat[: len(flat) - width + 1].copy()
     for k in range(1, width):
@@ -114,10 +116,16 @@ def signatures(texts: list[str | None], width: int, seed: int = 7) -> tuple[np.n
     ok = np.ones(len(flat), bool)
     for k in range(1, width):
         ok[ends - k] = False
-    h = _mix(h[ok[: len(h)]])
-    h32 = (h >> np.uint64(32)).astype(np.uint32)
-    starts = np.r_[0, np.cumsum(sizes[rows] - width + 1)[:-1]]
+    return rows, _mix(h[ok[: len(h)]]), np.r_[0, np.cumsum(sizes[rows] - width + 1)[:-1]]
+
+
+def signatures(texts: list[str | None], width: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the texts that have a shingle, and their COORDINATES min-wise values (uint32)."""
+    rows, h, starts = shingle_hashes(texts, width)
     out = np.empty((len(rows), COORDINATES), np.uint32)
+    if not len(rows):
+        return rows, out
+    h32 = (h >> np.uint64(32)).astype(np.uint32)
     mul, add = _multipliers(COORDINATES, seed)
     for c in range(COORDINATES):
         v = (h32 ^ add[c]) * mul[c]
@@ -229,29 +237,27 @@ def _post_batches(counts: np.ndarray, buckets: int, matches: int):
     return run
 
 
-def _collisions(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Number of coordinates in which signatures a and b agree."""
-    n = np.full(len(a), COORDINATES, np.int64)
-    for f in ("lo", "hi"):
-        x = a[f] ^ b[f]
-        x |= x >> np.uint64(2)
-        x |= x >> np.uint64(1)
-        n -= np.bitwise_count(x & _ONES)
-    return n
+def _differing(x: np.ndarray) -> np.ndarray:
+    """Number of coordinates in which packed values, given as their exclusive or, differ."""
+    x = x | (x >> np.uint64(2))
+    x |= x >> np.uint64(1)
+    x &= _ONES
+    return np.bitwise_count(x)
 
 
 def _merge_lists(p: np.ndarray, end: np.ndarray, matches: int) -> Iterator[np.ndarray]:
     """Pairs (id, id) within sorted lists of one key: element k against k + d, for growing d; lists that are through
     are skipped, and so are pairs with too few collisions."""
-    live = np.arange(len(p))
-    d = 1
+    lo, hi, ids = (np.ascontiguousarray(p[f]) for f in ("lo", "hi", "id"))
+    live, most, d = np.arange(len(p)), COORDINATES - matches - CHANCE, 1
     while len(live):
         live = live[live + d < end[live]]
-        for a in range(0, len(live), 1 << 20):
-            i = live[a : a + (1 << 20)]
-            hit = i[_collisions(p[i], p[i + d]) >= matches]
-            if len(hit):
-                yield np.stack([p["id"][hit], p["id"][hit + d]], 1)
+        for a in range(0, len(live), 1 << 18):
+            i = live[a : a + (1 << 18)]
+            j = i + d
+            hit = _differing(lo[i] ^ lo[j]) + _differing(hi[i] ^ hi[j]) <= most
+            if hit.any():
+                yield np.stack([ids[i[hit]], ids[j[hit]]], 1)
         d += 1
 
 
@@ -356,12 +362,14 @@ def _tile_pairs(matches: int):
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
                 x = np.frombuffer(x.as_py(), HELD)
                 other = None if y.as_py() is None else np.frombuffer(y.as_py(), HELD)
-                pairs = []
+                pairs, most = [], COORDINATES - matches - CHANCE
+                y = x if other is None else other
+                lo, hi, ids = (np.ascontiguousarray(y[f]) for f in ("lo", "hi", "id"))
                 for k in range(len(x)):
-                    against = x[k + 1 :] if other is None else other
-                    hit = np.flatnonzero(_collisions(np.broadcast_to(x[k : k + 1], len(against)), against) >= matches)
+                    begin = k + 1 if other is None else 0
+                    hit = np.flatnonzero(_differing(lo[begin:] ^ x["lo"][k]) + _differing(hi[begin:] ^ x["hi"][k]) <= most) + begin
                     if len(hit):
-                        pairs.append(np.stack([np.full(len(hit), x["id"][k]), against["id"][hit]], 1))
+                        pairs.append(np.stack([np.full(len(hit), x["id"][k]), ids[hit]], 1))
                 yield _pair_batch(pairs).select(["a", "b"])
 
     return run
@@ -380,21 +388,26 @@ def numbered_tile_pairs(tiles: DataFrame) -> DataFrame:
 
 
 def _similar_batches(width: int, at_least: float):
-    """Rows (a, b, text_a, text_b) -> (a, b, similarity) of the pairs whose sets are similar enough."""
+    """Rows (a, b, text_a, text_b) -> (a, b, similarity) of the pairs whose sets are similar enough.
+
+    The sets are taken by the 64-bit hashes of their shingles, once for each text of a batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_id, kept = None, set()
         for batch in batches:
-            out = ([], [], [])
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if a != kept_id:
-                    kept_id, kept = a, shingles(x, width)
-                other = shingles(y, width)
-                both = len(kept & other)
-                union = len(kept) + len(other) - both
-                if union and both >= at_least * union - 1e-12:
-                    out[0].append(a), out[1].append(b), out[2].append(both / union)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["a", "b", "similarity"])
+            ends = np.concatenate([batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)])
+            _, first, at = np.unique(ends, return_index=True, return_inverse=True)
+            texts = pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(first)).to_pylist()
+            rows, h, starts = shingle_hashes(texts, width)
+            sets: list[frozenset] = [frozenset()] * len(texts)
+            for r, part in zip(rows, np.split(h, starts[1:]), strict=True):
+                sets[r] = frozenset(part.tolist())
+            n = batch.num_rows
+            both = np.fromiter((len(sets[x] & sets[y]) for x, y in zip(at[:n].tolist(), at[n:].tolist(), strict=True)), np.int64, n)
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            union = sizes[at[:n]] + sizes[at[n:]] - both
+            keep = np.flatnonzero((union > 0) & (both >= at_least * union - 1e-12))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep)), pa.array(both[keep] / np.maximum(union[keep], 1))], ["a", "b", "similarity"])
 
     return run
 
