@@ -363,7 +363,7 @@ def latency_summary(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def bootstrap_mean(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "query_log").where("groundedness between 0 and 1").select("query_id", "groundedness").dropDuplicates(["query_id"])
-    return metrics.bootstrap_distributed(q, "groundedness")
+    return metrics.bootstrap_intervals(q, ["groundedness"]).drop("measure")
 
 
 _TRUNCATED = "CASE WHEN length(k.text) > 240 THEN regexp_replace(left(k.text, 237), '(?s) [^ ]*$', '') || '...' ELSE k.text END"
@@ -420,7 +420,7 @@ def rerank_logistic(spark: SparkSession, d: str) -> DataFrame:
     """Judged queries: fused candidates, a model trained on half of the queries, the other half's hits reranked."""
     settings = Settings()
     rows = _training_rows(spark, d, search.build_index(_described(spark, d), settings), settings)
-    half = F.pmod(F.xxhash64("query_id"), F.lit(2)) == 0
+    half = relevance.in_training(F.col("query_id"), seed=settings.seed)
     model = rerank.fit(rows.where(half))
     return rerank.rerank(model, rows.where(~half), "query_id", "chunk_id", 10).select("query_id", "chunk_id", F.col("rank").cast("int").alias("rank"), "label", "rerank_score")
 
@@ -434,9 +434,7 @@ def answer_probe_queries(spark: SparkSession, d: str) -> DataFrame:
     settings = Settings()
     index = search.build_index(_described(spark, d), settings)
     rows = _training_rows(spark, d, index, settings)
-    # judged queries are few; their ids reach the driver
-    train, _ = relevance.training_split([r["query_id"] for r in rows.select("query_id").distinct().collect()], seed=settings.seed)
-    index.model = rerank.fit(rows.join(spark.createDataFrame([(q,) for q in train], "query_id string"), "query_id", "left_semi"))
+    index.model = rerank.fit(rows.where(relevance.in_training(F.col("query_id"), seed=settings.seed)))
     return search.answer(index, table(spark, d, "probe_queries").select("query_id", "query"), settings)
 
 
@@ -460,7 +458,7 @@ def plan_queries(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- tables
 
 
-@query("""SELECT cik, concept, fiscal_year, unit, fact_id, value, end_date FROM financial_facts WHERE form LIKE '10-K%' AND fiscal_year IS NOT NULL AND fiscal_period = 'FY'
+@query("""SELECT cik, concept, fiscal_year, unit, fact_id, CASE WHEN NOT isnan(value) THEN value END AS value, end_date FROM financial_facts WHERE form LIKE '10-K%' AND fiscal_year IS NOT NULL AND fiscal_period = 'FY'
 QUALIFY row_number() OVER (PARTITION BY cik, concept, fiscal_year ORDER BY coalesce(end_date, '') DESC, accession_number DESC NULLS LAST, fact_id DESC) = 1""")
 def facts_dedup(spark: SparkSession, d: str) -> DataFrame:
     return store.annual_facts(table(spark, d, "financial_facts")).select("cik", "concept", "fiscal_year", "unit", "fact_id", "value", "end_date")
@@ -499,13 +497,11 @@ def corpus_counts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").rollup("source_type", "lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("n_chars"))
 
 
-@query("""WITH q AS (SELECT DISTINCT ON (query_id) created_at, groundedness, latency_ms FROM query_log WHERE NOT isnan(groundedness) AND NOT isnan(latency_ms)),
+@query("""WITH q AS (SELECT DISTINCT ON (query_id) created_at, CASE WHEN groundedness BETWEEN 0 AND 1 THEN CAST(round(groundedness * 1e9) AS BIGINT) END AS g, CASE WHEN latency_ms >= 0 AND NOT isnan(latency_ms) THEN CAST(round(latency_ms * 1e9) AS BIGINT) END AS l FROM query_log),
 w AS (SELECT *, unnest([time_bucket(INTERVAL 5 MINUTES, created_at), time_bucket(INTERVAL 5 MINUTES, created_at) - INTERVAL 5 MINUTES]) AS window_start FROM q)
-SELECT window_start, window_start + INTERVAL 10 MINUTES AS window_end, count(*) AS queries, round(avg(groundedness), 6) AS mean_groundedness, round(avg(latency_ms), 6) AS mean_latency FROM w GROUP BY window_start""")
+SELECT window_start, window_start + INTERVAL 10 MINUTES AS window_end, count(*) AS queries, ((2 * sum(g) + 1000 * count(g)) // (2000 * count(g))) / 1e6 AS mean_groundedness, ((2 * sum(l) + 1000 * count(l)) // (2000 * count(l))) / 1e6 AS mean_latency FROM w GROUP BY window_start""")
 def query_log_windows(spark: SparkSession, d: str) -> DataFrame:
-    q = table(spark, d, "query_log").where("groundedness is not null and latency_ms is not null and not isnan(groundedness) and not isnan(latency_ms)").select("query_id", "created_at", "groundedness", "latency_ms").dropDuplicates(["query_id"])
-    w = monitor.log_windows(q)
-    return w.select("window_start", "window_end", "queries", F.round("mean_groundedness", 6).alias("mean_groundedness"), F.round("mean_latency", 6).alias("mean_latency"))
+    return monitor.log_windows(table(spark, d, "query_log").select("query_id", "created_at", "groundedness", "latency_ms").dropDuplicates(["query_id"]))
 
 
 # ---------------------------------------------------------------- references

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 import urllib.error
 import urllib.request
@@ -14,24 +15,24 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 RETRIED, TRIES, FIRST_WAIT, LONGEST_WAIT = frozenset([429, 500, 502, 503, 504]), 4, 2.0, 16.0
 
 
-class Pace:
-    """At least 1/rate seconds between calls."""
+class Slots:
+    """Time cut to slots of 1/rate seconds, a call to each: a call takes the first slot not yet begun or taken."""
 
     def __init__(self, rate: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
-        self.gap, self.clock, self.sleep, self.next = 1.0 / rate, clock, sleep, 0.0
+        self.rate, self.clock, self.sleep, self.taken = rate, clock, sleep, -1
 
-    def wait(self) -> None:
+    def take(self) -> None:
         now = self.clock()
-        if now < self.next:
-            self.sleep(self.next - now)
-        self.next = max(now, self.next) + self.gap
+        self.taken = max(self.taken + 1, math.ceil(now * self.rate))
+        if (ahead := self.taken / self.rate - now) > 0:
+            self.sleep(ahead)
 
 
-def fetch(url: str, headers: dict[str, str], pace: Pace, opener: Callable = urllib.request.urlopen) -> str:
+def fetch(url: str, headers: dict[str, str], slots: Slots, opener: Callable = urllib.request.urlopen) -> str:
     """Body of a page, tried again with growing waits where that may help."""
     wait = FIRST_WAIT
     for left in range(TRIES - 1, -1, -1):
-        pace.wait()
+        slots.take()
         try:
             with opener(urllib.request.Request(url, headers=headers), timeout=30) as answer:
                 return answer.read().decode("utf-8", errors="replace")
@@ -41,7 +42,7 @@ def fetch(url: str, headers: dict[str, str], pace: Pace, opener: Callable = urll
         except urllib.error.URLError:
             if not left:
                 raise
-        pace.sleep(wait)
+        slots.sleep(wait)
         wait = min(wait * 2, LONGEST_WAIT)
     raise AssertionError
 
@@ -70,9 +71,9 @@ class _PagesReader(DataSourceReader):
         return [InputPartition(0)]
 
     def read(self, partition) -> Iterator[tuple]:
-        pace = Pace(self.rate)
+        slots = Slots(self.rate)
         for url in self.urls:
-            yield url, fetch(url, {"User-Agent": self.agent}, pace)
+            yield url, fetch(url, {"User-Agent": self.agent}, slots)
 
 
 def register(spark: SparkSession) -> None:

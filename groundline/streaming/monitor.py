@@ -13,10 +13,18 @@ from groundline.operators.store import replace_groups
 def log_windows(log: DataFrame, at: str = "created_at", length: str = "10 minutes", slide: str = "5 minutes", late: str | None = "10 minutes") -> DataFrame:
     """Sliding windows: window_start, window_end, queries, mean_groundedness, mean_latency. Batch or stream.
 
-    In a stream rows later than the watermark are dropped from closed windows, so each window comes out once.
+    In a stream rows later than the watermark are dropped from closed windows, so each window comes out once. Impossible
+    measurements are no measurements: a negative or NaN latency and a groundedness outside 0 to 1 count as null. Means
+    are sums of billionths, rounded half up to six places, so they don't depend on the order of the rows.
     """
     rows = log.withWatermark(at, late) if log.isStreaming and late else log
-    g = rows.groupBy(F.window(at, length, slide)).agg(F.count(F.lit(1)).alias("queries"), F.avg("groundedness").alias("mean_groundedness"), F.avg("latency_ms").alias("mean_latency"))
+    rows = rows.withColumns({"groundedness": F.when(F.col("groundedness").between(0, 1), F.col("groundedness")), "latency_ms": F.when((F.col("latency_ms") >= 0) & ~F.isnan("latency_ms"), F.col("latency_ms"))})
+
+    def mean(c: str):
+        total, n = F.sum(F.round(F.col(c) * 1e9).cast("bigint")), F.count(c)
+        return F.when(n > 0, F.call_function("div", 2 * total + 1000 * n, 2000 * n) / 1e6)
+
+    g = rows.groupBy(F.window(at, length, slide)).agg(F.count(F.lit(1)).alias("queries"), mean("groundedness").alias("mean_groundedness"), mean("latency_ms").alias("mean_latency"))
     return g.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "queries", "mean_groundedness", "mean_latency")
 
 

@@ -61,4 +61,4 @@ def test_probe_queries_take_the_whole_path(spark, monkeypatch):
 
 def test_bootstrap_takes_the_default_resamples(spark):
     q = table(spark, TABLES, "query_log").where("groundedness between 0 and 1").select("query_id", "groundedness").dropDuplicates(["query_id"])
-    assert catalog.bootstrap_mean(spark, TABLES).first() == metrics.bootstrap_distributed(q, "groundedness", resamples=2000).first()
+    assert catalog.bootstrap_mean(spark, TABLES).first() == metrics.bootstrap_intervals(q, ["groundedness"], resamples=2000).drop("measure").first()

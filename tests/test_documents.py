@@ -28,14 +28,13 @@ def test_fixed_windows(spark):
 
 
 def test_packing():
-    p = chunking.SentencePacker(10, 4, 3)
     s = ["a b c d", "e f g h", "i j", "k l m n o p q r s t u v", "w"]
-    got = p.windows(s)
+    got = chunking.packed(s, 10, 4, 3)
     assert got[0] == "a b c d e f g h i j" and all(x in " ".join(got) for x in s)
-    assert chunking.SentencePacker(3, 0, 1).windows(["a b c d", "e"]) == ["a b c d", "e"]
-    assert chunking.SentencePacker(5, 1, 4).windows(["a b c d e f"]) == ["a b c d e f"] and p.windows([]) == []
+    assert chunking.packed(["a b c d", "e"], 3, 0, 1) == ["a b c d", "e"]
+    assert chunking.packed(["a b c d e f"], 5, 1, 4) == ["a b c d e f"] and chunking.packed([], 10, 4, 3) == []
     # a carry takes one sentence at least, even one beyond the overlap
-    assert chunking.SentencePacker(6, 1, 1).windows(["a b c", "d e f", "g h i"]) == ["a b c d e f", "d e f g h i"]
+    assert chunking.packed(["a b c", "d e f", "g h i"], 6, 1, 1) == ["a b c d e f", "d e f g h i"]
 
 
 def test_section_windows(spark):
@@ -68,10 +67,13 @@ def test_section_spans_and_resolution(spark):
     assert [r[0] for r in relevance.unresolved(targets, rel).collect()] == ["q4"]
 
 
-def test_training_split():
-    ids = [f"q{i:03d}" for i in range(1, 39)]
-    train, held = relevance.training_split(ids)
-    assert train[:10] == "q008 q010 q011 q012 q013 q014 q015 q016 q018 q019".split() and sorted(train + held) == ids
+def test_training_split(spark):
+    ids = spark.createDataFrame([(f"q{i:03d}",) for i in range(1000)] + [(None,)], "query_id string")
+    parts = ids.select("query_id", relevance.in_training(F.col("query_id")).alias("a"), relevance.in_training(F.col("query_id"), 0.1).alias("b"), relevance.in_training(F.col("query_id"), seed=1).alias("c")).collect()
+    assert 450 < sum(r.a for r in parts) < 550 and 70 < sum(r.b for r in parts) < 130 and all(r.a for r in parts if r.b) and any(r.a != r.c for r in parts)
+    assert not parts[-1].a
+    with pytest.raises(ConfigurationError):
+        relevance.in_training(F.col("query_id"), 1.0)
 
 
 PLANS = {
@@ -181,9 +183,12 @@ def test_http():
     import urllib.error
 
     slept, now = [], [0.0]
-    pace = http.Pace(2, clock=lambda: now[0], sleep=slept.append)
-    pace.wait(), pace.wait()
+    slots = http.Slots(2, clock=lambda: now[0], sleep=slept.append)
+    slots.take(), slots.take()
     assert slept == [0.5]
+    now[0] = 9.1
+    slots.take()
+    assert slept == [0.5, pytest.approx(0.4)]
     calls = []
 
     class Page:
@@ -203,7 +208,7 @@ def test_http():
         return Page()
 
     slept.clear()
-    assert http.fetch("http://x.example", {}, http.Pace(1e9, clock=lambda: 0.0, sleep=slept.append), opener) == "ok"
+    assert http.fetch("http://x.example", {}, http.Slots(1e9, clock=lambda: 0.0, sleep=slept.append), opener) == "ok"
     assert [s for s in slept if s > 1] == [2.0, 4.0]
 
 
