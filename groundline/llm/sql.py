@@ -20,6 +20,13 @@ SELECT k_cik AS cik, k_concept AS concept, k_unit AS unit, k_year AS fiscal_year
 FROM r GROUP BY ALL HAVING count(DISTINCT fact_id) > 1
 """
 
+_FIELDS = {"value": "has_value", "entity_name": "has_entity", "accession_number": "filing >= 0", "end_date": "day >= 0", "form": "trim(form) <> ''", "fiscal_period": "trim(fiscal_period) <> ''"}
+_SURVIVORS = _BEST[: _BEST.index("SELECT k_cik AS cik")].replace("value, entity_name, accession_number,", "value, entity_name, accession_number, end_date, form, fiscal_period,", 1) + (
+    "SELECT k_cik AS cik, k_concept AS concept, k_unit AS unit, k_year AS fiscal_year, arg_max(fact_id, o) AS fact_id, "
+    + ", ".join(f"arg_max({f}, o) FILTER ({has}) AS {f}, coalesce(arg_max(fact_id, o) FILTER ({has}), 0) AS {f}_fact_id" for f, has in _FIELDS.items())
+    + " FROM r GROUP BY ALL"
+)
+
 _TOP = """
 WITH c AS (SELECT query_id, chunk_id, score, rank FROM retrieved_chunks WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, rank ASC NULLS LAST) AS r FROM c),
@@ -45,7 +52,7 @@ g AS (SELECT log_day, strategy, measure, list_sort(list(v)) AS vs, count(*) AS n
 SELECT log_day, strategy, measure, p, n, vs[greatest(1, CAST(ceil(p * n - 1e-9) AS BIGINT))] AS value FROM g, (SELECT unnest([0.1, 0.5, 0.9, 0.95, 0.99])::DOUBLE AS p)
 """
 
-SQL = {"p2_found": _BEST, "p3_found": _TOP, "p5_found": _FOUND, "p5_percentiles": _PERCENTILES}
+SQL = {"p2_found": _BEST, "p2_survivors": _SURVIVORS, "p3_found": _TOP, "p5_found": _FOUND, "p5_percentiles": _PERCENTILES}
 
 # all pairs that share a shingle, counted: exact, and feasible for the small tables only
 _SHARED = r"""
