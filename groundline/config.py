@@ -22,6 +22,26 @@ class EvaluationError(GroundlineError):
     """Judgements and collection do not go together."""
 
 
+class ParsingError(GroundlineError):
+    """A document or answer of a source can't be read."""
+
+
+class IndexNotBuiltError(GroundlineError):
+    """A search in an index that has not been built."""
+
+
+class EmbeddingError(GroundlineError):
+    """No encoder fits the settings, or it failed."""
+
+
+class GenerationError(GroundlineError):
+    """No answer can be written from the evidence."""
+
+
+class RequestError(GroundlineError):
+    """A request breaks its limits."""
+
+
 @dataclass
 class Chunking:
     strategy: str = "section_aware"
@@ -38,12 +58,15 @@ class Chunking:
 
 @dataclass
 class Embedding:
+    backend: str = "tfidf_svd"
     dim: int = 256
     min_df: int = 1
     max_df: float = 0.85
     ngram_max: int = 2
 
     def check(self) -> None:
+        if self.backend not in ("tfidf_svd", "sentence_transformers", "openai"):
+            raise ConfigurationError(f"unknown embedding backend {self.backend!r}")
         if self.dim < 1 or not 0 < self.max_df <= 1:
             raise ConfigurationError("dim must be positive and max_df a share")
 
@@ -70,7 +93,13 @@ class Retrieval:
 @dataclass
 class Reranking:
     enabled: bool = True
+    model: str = "logistic"
     candidate_k: int = 30
+    top_k: int = 10
+
+    def check(self) -> None:
+        if self.model not in ("logistic", "none"):
+            raise ConfigurationError(f"unknown reranker {self.model!r}")
 
 
 @dataclass
@@ -81,10 +110,15 @@ class Planning:
 
 @dataclass
 class Generation:
+    backend: str = "extractive"
     max_spans: int = 4
     span_sentences: int = 2
     min_support_overlap: float = 0.35
 
+    def check(self) -> None:
+        if self.backend not in ("extractive", "anthropic", "openai"):
+            raise ConfigurationError(f"unknown generation backend {self.backend!r}")
+
 
 @dataclass
 class Evaluation:

@@ -19,11 +19,15 @@ def _quoted(words) -> str:
 # Lambdas as SQL text: one parsed expression each, instead of a call into the JVM for every node of the tree.
 _SPOKEN = f"w -> w NOT IN ({_quoted(V.STOPWORDS)})"
 _IRREGULAR = f"map({_quoted(x for pair in V.IRREGULAR.items() for x in pair)})"
-_WITHOUT_PLURAL = f"""w -> CASE WHEN length(w) <= 3 OR NOT w RLIKE '^[a-z]+$' THEN w ELSE coalesce(try_element_at({_IRREGULAR}, w),
-    CASE WHEN endswith(w, 'ies') AND length(w) > 4 THEN concat(substring(w, 1, length(w) - 3), 'y')
-         WHEN endswith(w, 'sses') OR (length(w) > 4 AND w RLIKE '(?:ch|sh|x|z|s)es$') THEN substring(w, 1, length(w) - 2)
-         WHEN endswith(w, 's') AND NOT w RLIKE '(?:sis|ss|us|is|ies)$' THEN substring(w, 1, length(w) - 1)
-         ELSE w END) END"""
+# most words end otherwise: they are told by their last letter, without a pattern or a lookup
+_WITHOUT_PLURAL = f"""w -> CASE
+    WHEN length(w) <= 3 OR NOT right(w, 1) IN ('s', 'e', 'n', 'd', 'g', 'a') THEN w
+    WHEN w IN ({_quoted(x for x in V.IRREGULAR if len(x) > 3)}) THEN try_element_at({_IRREGULAR}, w)
+    WHEN NOT endswith(w, 's') OR NOT w RLIKE '^[a-z]+$' THEN w
+    WHEN endswith(w, 'ies') AND length(w) > 4 THEN concat(substring(w, 1, length(w) - 3), 'y')
+    WHEN endswith(w, 'sses') OR (length(w) > 4 AND w RLIKE '(?:ch|sh|x|z|s)es$') THEN substring(w, 1, length(w) - 2)
+    WHEN NOT w RLIKE '(?:sis|ss|us|is|ies)$' THEN substring(w, 1, length(w) - 1)
+    ELSE w END"""
 
 
 def _cut(ending: str, silent: str) -> str:

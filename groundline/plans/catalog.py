@@ -11,9 +11,10 @@ from groundline.config import Settings
 from groundline.functions import text as T
 from groundline.functions import vocabulary as V
 from groundline.operators import answers, chunking, dense, fusion, lexical, metrics, planning, references, relevance, rerank, store
-from groundline.plans import evaluate, search, sql
+from groundline.plans import evaluate, search, service, sql
 from groundline.runtime import materialise, table
-from groundline.sources.filings import split_items
+from groundline.sources.abstracts import parse_articles
+from groundline.sources.filings import list_filings, normalise_cik, split_items, us_gaap_facts
 from groundline.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,19 +74,34 @@ def stable_ids(spark: SparkSession, d: str) -> DataFrame:
 _STRIPPED = f"regexp_replace(regexp_replace(raw, {sql.lit('^' + V.BLANK + '+')}, ''), {sql.lit(V.BLANK + '+$')}, '')"
 
 
-@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents), s AS (SELECT doc_id, {_STRIPPED} AS line FROM l)
+#: Texts that show what the documents of the test tables happen not to hold: metadata in the first characters, recurring lines.
+SHOWN = [
+    (-1, "Form 10-K\nAnnual report for the fiscal year ended December 31, 2021.\nCentral Index Key: 0001234567\nPage head\nOne\nPage head\nTwo\n  Page head \nThree"),
+    (-2, "form 8-k of a company, fiscal year ending in spring 1999, central index key (CIK) 98765 " + "x" * 4000 + " fiscal year ended 2011"),
+    (-3, "same\nsame\nother line\nother line\nother line of a long text that has far more than twelve words in it and so stays\nother line\nsame"),
+]
+
+
+def _and_shown(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents", "doc_id", "text").unionByName(spark.createDataFrame(SHOWN, "doc_id bigint, text string"))
+
+
+_AND_SHOWN = "(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, {sql.lit(t)})" for i, t in SHOWN) + ") AS x(doc_id, text))"
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM {_AND_SHOWN}), s AS (SELECT doc_id, {_STRIPPED} AS line FROM l)
 SELECT doc_id, line, count(*) AS n FROM s WHERE line <> '' AND len({sql.words('line')}) <= 12 GROUP BY ALL HAVING count(*) >= 3""")
 def boilerplate_lines(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.boilerplate_lines(table(spark, d, "documents"), "doc_id", "text")
+    return chunking.boilerplate_lines(_and_shown(spark, d), "doc_id", "text")
 
 
-@query(f"""WITH h AS (SELECT doc_id, substring(text, 1, 4000) AS h FROM documents)
+@query(f"""WITH h AS (SELECT doc_id, substring(text, 1, 4000) AS h FROM {_AND_SHOWN})
 SELECT doc_id, nullif(regexp_extract(h, {sql.lit(V.FISCAL_YEAR)}, 1), '') AS fiscal_year, upper(nullif(regexp_extract(h, {sql.lit(V.FORM_TYPE)}, 1), '')) AS form_type,
   nullif(regexp_extract(h, '(?:^|[^\\p{{L}}\\p{{N}}_])((?:19|20)\\d{{2}})(?:$|[^\\p{{L}}\\p{{N}}_])', 1), '') AS first_year FROM h""")
 def infer_metadata(spark: SparkSession, d: str) -> DataFrame:
     h = F.substring("text", 1, 4000)
     found = lambda p, g: F.nullif(F.regexp_extract(h, p, g), F.lit(""))
-    return table(spark, d, "documents").select("doc_id", found(V.FISCAL_YEAR, 1).alias("fiscal_year"), F.upper(found(V.FORM_TYPE, 1)).alias("form_type"), found(V.YEAR, 0).alias("first_year"))
+    return _and_shown(spark, d).select("doc_id", found(V.FISCAL_YEAR, 1).alias("fiscal_year"), F.upper(found(V.FORM_TYPE, 1)).alias("form_type"), found(V.YEAR, 0).alias("first_year"))
 
 
 @query("""SELECT doc_id, CASE source_type
@@ -99,6 +115,77 @@ def citation_labels(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", meta.alias("m"), "source_type").select("doc_id", citation_label(F.col("source_type"), F.col("m"), F.lit(None).cast("string"), F.col("doc_id").cast("string")).alias("label"))
 
 
+_SPACES = "[ \\t\\r\\f\\x0b]+"
+_BLANK_LINE = V.BLANK.replace(r"\s", r"\t\f\r ").replace("[", "[", 1)
+
+
+@query(f"""WITH a AS (SELECT doc_id, regexp_replace(text, '{_SPACES}', ' ', 'g') AS t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, regexp_replace(regexp_replace(t, '(?m)^{_BLANK_LINE}+', '', 'g'), '(?m){_BLANK_LINE}+$', '', 'g') AS t FROM a),
+c AS (SELECT doc_id, regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM b)
+SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, regexp_replace(regexp_replace(t, '^({_BLANK_LINE}|\\n)+', ''), '({_BLANK_LINE}|\\n)+$', '') AS t FROM c)""")
+def collapse_ws(spark: SparkSession, d: str) -> DataFrame:
+    """The white space rules on the texts as they are, without the Unicode normalisation before them."""
+    t = table(spark, d, "documents", "doc_id", "text", busy=True).where("text is not null").select("doc_id", T.collapsed(F.col("text")).alias("t"))
+    return t.select("doc_id", F.length("t").alias("n_chars"), F.md5("t").alias("digest"))
+
+
+@query(r"SELECT doc_id, regexp_replace('postgresql://me:' || doc_id || '@' || coalesce(url, 'db:5432/x'), '(//[^:/@]+):[^@]*@', '\1:***@') AS url FROM documents")
+def redacted_urls(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.redact_url(F.concat(F.lit("postgresql://me:"), F.col("doc_id").cast("string"), F.lit("@"), F.coalesce("url", F.lit("db:5432/x")))).alias("url"))
+
+
+# ---------------------------------------------------------------- sources
+
+
+@query("""WITH f AS (SELECT *, lpad(regexp_replace(cik, '[^0-9]', '', 'g'), CAST(greatest(10, length(regexp_replace(cik, '[^0-9]', '', 'g'))) AS INTEGER), '0') AS c FROM financial_facts
+  WHERE regexp_matches(cik, '[0-9]') AND concept IS NOT NULL AND unit IS NOT NULL AND fact_id IS NOT NULL)
+SELECT c AS cik, concept, unit, fiscal_year, CASE WHEN NOT isnan(value) THEN value END AS value, end_date, accession_number FROM f WHERE form LIKE '10-K%' AND fiscal_year IS NOT NULL AND fiscal_period = 'FY'
+QUALIFY row_number() OVER (PARTITION BY c, concept, fiscal_year ORDER BY coalesce(end_date, '') DESC, unit DESC, fact_id DESC, accession_number DESC) = 1""")
+def facts_transpose(spark: SparkSession, d: str) -> DataFrame:
+    """The fact table nested as company facts come (concept, unit, entries), and turned into rows again."""
+    f = table(spark, d, "financial_facts").where("cik rlike '[0-9]' and concept is not null and unit is not null and fact_id is not null").withColumn("c", normalise_cik(F.col("cik")))
+    entry = F.struct(F.col("fact_id"), F.col("end_date").alias("end"), F.col("value").alias("val"), F.col("accession_number").alias("accn"), F.col("fiscal_year").alias("fy"), F.col("fiscal_period").alias("fp"), "form")
+    f = f.groupBy("c", "concept", "unit").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    units = f.groupBy("c", "concept").agg(F.map_from_entries(F.collect_list(F.struct("unit", "e"))).alias("units"))
+    facts = units.groupBy("c").agg(F.map_from_entries(F.collect_list(F.struct("concept", F.struct("units").alias("b")))).alias("us-gaap"))
+    facts = facts.select(F.col("c").alias("cik"), F.lit("x").alias("entityName"), F.struct("us-gaap").alias("facts"))
+    concepts = [r[0] for r in table(spark, d, "financial_facts").select("concept").where("concept is not null").distinct().collect()]
+    out = us_gaap_facts(facts, concepts)
+    return out.select("cik", "concept", "unit", "fiscal_year", F.when(~F.isnan("value"), F.col("value")).alias("value"), "end_date", "accession_number")
+
+
+@query("""WITH f AS (SELECT *, lpad(regexp_replace(cik, '[^0-9]', '', 'g'), CAST(greatest(10, length(regexp_replace(cik, '[^0-9]', '', 'g'))) AS INTEGER), '0') AS c FROM documents WHERE regexp_matches(cik, '[0-9]')),
+r AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY doc_id) AS n FROM f WHERE upper(form_type) = '10-K')
+SELECT c AS cik, CAST(doc_id AS VARCHAR) AS accession_number, strftime(filing_date, '%Y-%m-%d') AS filing_date,
+  'https://www.sec.gov/Archives/edgar/data/' || ltrim(c, '0') || '/' || replace(CAST(doc_id AS VARCHAR), '-', '') || '/' || coalesce(source_file, '') AS document_url FROM r WHERE n <= 3""")
+def filings_list(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as the column-oriented lists of a company's submissions, and their annual reports as rows, three a company."""
+    f = table(spark, d, "documents").where("cik rlike '[0-9]'").withColumn("c", normalise_cik(F.col("cik")))
+    key = F.col("doc_id").cast("string")
+    row = F.struct("doc_id", key.alias("a"), F.coalesce("form_type", F.lit("")).alias("f"), F.coalesce(F.date_format("filing_date", "yyyy-MM-dd"), F.lit("")).alias("d"), F.coalesce("source_file", F.lit("")).alias("p"))
+    g = f.groupBy("c").agg(F.array_sort(F.collect_list(row)).alias("x"))
+    recent = F.struct(F.col("x.a").alias("accessionNumber"), F.col("x.f").alias("form"), F.col("x.d").alias("filingDate"), F.col("x.d").alias("reportDate"), F.col("x.p").alias("primaryDocument"))
+    s = g.select(F.col("c").alias("cik"), F.lit("n").alias("name"), F.array().cast("array<string>").alias("tickers"), F.struct(recent.alias("recent")).alias("filings"))
+    return list_filings(s, ["10-K"], 3).select("cik", "accession_number", F.nullif("filing_date", F.lit("")).alias("filing_date"), "document_url")
+
+
+@query("""WITH d AS (SELECT doc_id, pmid, publication_year, list_filter(mesh_terms, lambda m: trim(m) <> '') AS mesh FROM documents WHERE source_type = 'biomedical_abstract' AND pmid IS NOT NULL)
+SELECT pmid, publication_year, coalesce(len(mesh), 0) AS n_mesh, CAST('Abstract: ' || doc_id || '<&>' AS VARCHAR) AS said, 'https://pubmed.ncbi.nlm.nih.gov/' || pmid || '/' AS url FROM d""")
+def abstract_records(spark: SparkSession, d: str) -> DataFrame:
+    """Abstracts written as article sets, a thousand texts of markup, and parsed again."""
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    docs = table(spark, d, "documents").where("source_type = 'biomedical_abstract' and pmid is not null")
+    mesh = F.array_join(F.transform(F.coalesce("mesh_terms", F.array().cast("array<string>")), lambda m: F.concat(F.lit("<MeshHeading><DescriptorName>"), esc(m), F.lit("</DescriptorName></MeshHeading>"))), "")
+    year = F.coalesce(F.concat(F.lit("<Year>"), F.col("publication_year").cast("string"), F.lit("</Year>")), F.lit(""))
+    xml = F.concat(
+        F.lit("<PubmedArticleSet><PubmedArticle><MedlineCitation><PMID>"), "pmid", F.lit("</PMID><Article><Journal><JournalIssue><PubDate>"), year, F.lit("</PubDate></JournalIssue><Title>J</Title></Journal><ArticleTitle>T</ArticleTitle><Abstract>"),
+        F.lit('<AbstractText Label="ABSTRACT">'), F.col("doc_id").cast("string"), F.lit("&lt;&amp;<i>&gt;</i></AbstractText></Abstract></Article><MeshHeadingList>"), mesh, F.lit("</MeshHeadingList></MedlineCitation></PubmedArticle></PubmedArticleSet>"),
+    )
+    a = parse_articles(docs.select(xml.alias("payload")), "payload")
+    said = F.concat(F.col("sections")[0]["heading"], F.lit(": "), F.col("sections")[0]["text"])
+    return a.select("pmid", "publication_year", F.size(F.filter("mesh_terms", lambda m: m != "")).alias("n_mesh"), said.alias("said"), "url")
+
+
 # ---------------------------------------------------------------- chunks
 
 
@@ -213,6 +300,21 @@ def fuse_weighted(spark: SparkSession, d: str) -> DataFrame:
     return fusion.ranked(f, "query_id", "chunk_id", k=10, digits=6).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+_POOLED = _TWO.replace("QUALIFY rank <= 50", "QUALIFY rank <= CASE WHEN ascii(right(query_id, 1)) % 2 = 0 THEN 120 ELSE 50 END")
+
+
+@query(f"""WITH {_POOLED}, u AS (SELECT query_id, chunk_id, coalesce(l, 0) AS l, coalesce(d, 0) AS d FROM (SELECT query_id, chunk_id, l FROM lx) FULL JOIN (SELECT query_id, chunk_id, d FROM dn) USING (query_id, chunk_id)),
+m AS (SELECT *, min(l) OVER w AS l0, max(l) OVER w AS l1, min(d) OVER w AS d0, max(d) OVER w AS d1 FROM u WINDOW w AS (PARTITION BY query_id)),
+f AS (SELECT query_id, chunk_id, 0.45 * (CASE WHEN l1 - l0 < 1e-12 THEN 0.0 ELSE (l - l0) / (l1 - l0) END) + 0.55 * (CASE WHEN d1 - d0 < 1e-12 THEN 0.0 ELSE (d - d0) / (d1 - d0) END) AS score FROM m)
+SELECT query_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chunk_id) AS rank FROM f QUALIFY rank <= 30""")
+def hybrid_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Fusion of both lists, each cut to the query's own pool: 120 deep where it is scoped (here by its id), else 50."""
+    own = F.when(F.ascii(F.right("query_id", F.lit(1))) % 2 == 0, 120).otherwise(50)
+    lex, den = (fusion.within_pool(hits, own) for hits in _two_lists(spark, d, 120))
+    f = fusion.weighted_fusion(lex, den, "query_id", "chunk_id")
+    return fusion.ranked(f, "query_id", "chunk_id", k=30, digits=6).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("""WITH b AS (SELECT query_id, chunk_id, max(score) AS score, arg_max(source_type, score) AS st FROM retrieved_chunks WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score) GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS r FROM b QUALIFY r <= 40),
 s AS (SELECT *, coalesce(st = 'biomedical_abstract', false) AS m, max(CASE WHEN st = 'biomedical_abstract' THEN 1 ELSE 0 END) OVER (PARTITION BY query_id) AS hits FROM p)
@@ -392,14 +494,60 @@ def completeness(spark: SparkSession, d: str) -> DataFrame:
     return j.select("query_id", "doc_id", F.round(metrics.completeness(F.coalesce("text", F.lit("")), F.col("answer_terms")), 9).alias("completeness"))
 
 
-@query()
+def _split(text: str) -> str:
+    """Sentences of a text without line breaks, in SQL: cut behind every stop, put together again behind abbreviations."""
+    marked = f"regexp_replace(replace({text}, chr(10), ' '), '([.!?])([ \\t\\n\\x0b\\f\\r]+)([A-Z(\"''0-9])', '\\1\\2␞\\3', 'g')"
+    short = "|".join(a[:-1].replace(".", "\\.") for a in V.ABBREVIATIONS)
+    for _ in range(2):
+        marked = f"regexp_replace({marked}, '(^|[ ␞])((?i:{short}|[a-z])\\.[ \\t\\n\\x0b\\f\\r]+)␞', '\\1\\2', 'g')"
+    return f"list_filter(list_transform(string_split({marked}, '␞'), lambda p: regexp_replace(regexp_replace(regexp_replace(p, '([.!?])[ \\t\\n\\x0b\\f\\r]+$', '\\1'), '^ +', ''), ' +$', '')), lambda p: p <> '')"
+
+
+@query(f"""WITH s AS (SELECT doc_id, {_split("text")} AS s FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, len(s) AS n_sentences, coalesce(list_max(list_transform(s, lambda x: length(x))), 0) AS longest FROM s""")
+def sentence_split(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of the texts as they are: the rules without the Unicode normalisation before them."""
+    s = table(spark, d, "documents", "doc_id", "text", busy=True).where("text is not null").select("doc_id", T.sentences(F.col("text"), normalised=True).alias("s"))
+    return s.select("doc_id", F.size("s").alias("n_sentences"), F.coalesce(F.array_max(F.transform("s", lambda x: F.length(x))), F.lit(0)).alias("longest"))
+
+
+@query(f"""WITH k AS (SELECT DISTINCT ON (chunk_id) chunk_id, doc_id, text FROM chunks ORDER BY chunk_id, coalesce(doc_id, -9), position),
+s AS (SELECT chunk_id, doc_id, unnest({_split("text")}) AS s FROM k WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+t AS (SELECT chunk_id, doc_id, list_distinct({sql.tokens("s", True)}) AS t, len({sql.tokens("s", True)}) AS n FROM s), e AS (SELECT doc_id, {sql.tokens("text", True)} AS p FROM documents),
+v AS (SELECT chunk_id, CASE WHEN n < 3 THEN 1.0 WHEN e.p IS NULL THEN 0.0 ELSE len(list_intersect(t, p)) / len(t) END AS v FROM t LEFT JOIN e USING (doc_id))
+SELECT chunk_id, round(avg(CASE WHEN v >= 0.35 THEN 1.0::DOUBLE ELSE 0.0 END), 9) AS groundedness FROM v GROUP BY chunk_id""")
 def groundedness(spark: SparkSession, d: str) -> DataFrame:
     """Share of each chunk's sentences that its document supports."""
     k = _chunks(spark, d).where("doc_id is not null and text is not null")
-    s = k.select("doc_id", "chunk_id", F.explode(T.sentences(F.col("text"))).alias("s")).select("doc_id", "chunk_id", T.content_tokens(F.col("s")).alias("s"))
+    s = k.select("doc_id", "chunk_id", F.explode(T.sentences(F.col("text"), normalised=True)).alias("s")).select("doc_id", "chunk_id", T.content_tokens(F.col("s")).alias("s"))
     e = table(spark, d, "documents").select("doc_id", T.content_tokens(F.col("text")).alias("p"))
     supported = metrics.sentence_support(s, e, "doc_id", "s", "p")
-    return metrics.groundedness(supported, "chunk_id")
+    return metrics.groundedness(supported, "chunk_id").withColumn("groundedness", F.round("groundedness", 9))
+
+
+@query(f"""WITH k AS (SELECT DISTINCT chunk_id, doc_id, text FROM chunks WHERE doc_id IS NOT NULL), j AS (SELECT k.doc_id, d.doc_id IS NOT NULL AND d.text IS NOT NULL AS ok, {sql.tokens("k.text", True)} AS q, {sql.tokens("d.text", True)} AS t FROM k LEFT JOIN documents d ON k.doc_id = d.doc_id),
+s AS (SELECT doc_id, ok, ok AND (len(q) < 3 OR CASE WHEN len(q) > 0 THEN len(list_intersect(q, t)) / len(list_distinct(q)) ELSE 0.0 END >= 0.35) AS good FROM j)
+SELECT doc_id, count(*) AS citations, round(count(*) FILTER (ok) / count(*), 9) AS resolvable, round(count(*) FILTER (good) / count(*), 9) AS supported FROM s GROUP BY doc_id""")
+def citation_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks as citations of their documents: the shares that resolve and that are supported."""
+    k = table(spark, d, "chunks", "chunk_id", "doc_id", "text", busy=True).where("doc_id is not null").distinct()
+    docs = table(spark, d, "documents", "doc_id", "text", busy=True).select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("chunk_id"), "text")
+    cited = k.select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("chunk_id"), F.col("chunk_id").alias("marker"), F.col("text").alias("quote"))
+    c = answers.citation_correctness(cited, docs)
+    return c.select(F.col("query_id").alias("doc_id"), "citations", F.round("resolvable", 9).alias("resolvable"), F.round("supported", 9).alias("supported"))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '\\[(\\d+)\\]', 1)) AS n, list_sum(list_transform(regexp_extract_all(text, '\\[(\\d+)\\]', 1), lambda x: CAST(x AS BIGINT))) AS total FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '\\[\\d+\\]')")
+def citation_markers(spark: SparkSession, d: str) -> DataFrame:
+    m = table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", T.markers(F.col("text")).alias("m")).where(F.size("m") > 0)
+    return m.select("doc_id", F.size("m").alias("n"), F.aggregate("m", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+@query("""SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]*\\[([02-9]|\\d\\d+)\\]', '', 'g'), '[ \\t\\n\\x0b\\f\\r]*\\[1\\]', ' [1]', 'g')) AS digest FROM documents WHERE text IS NOT NULL""")
+def stripped_markers(spark: SparkSession, d: str) -> DataFrame:
+    """Reference marks other than [1] taken out of every text."""
+    t = T.strip_unresolvable_markers(F.col("text"), F.array(F.lit(1)))
+    return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.md5(t).alias("digest"))
 
 
 @query()
@@ -449,7 +597,29 @@ def plan_route(spark: SparkSession, d: str) -> DataFrame:
     return q.select("query", planning.route(F.col("query")).alias("tool"))
 
 
-@query()
+def _trimmed(text: str) -> str:
+    return f"regexp_replace(regexp_replace({text}, '^[ ?,]+', ''), '[ ?,]+$', '')"
+
+
+def _left_over(parts: str) -> str:
+    bare = f"list_reduce(list_prepend(regexp_replace(q, {sql.lit(V.COMPARISON)}, ' ', 'g'), {parts}), lambda x, p: replace(x, p, ' '))"
+    return _trimmed(f"array_to_string(regexp_extract_all(replace({bare}, ' and ', ' '), {sql.lit(V.SOLID + '+')}), ' ')")
+
+
+_ONE_WORD = V.COMPARISON.replace(r"(?i)\b", "", 1).removesuffix(r"\b")
+_NAMES = lambda t: f"list_filter(list_transform(regexp_extract_all({t}, {sql.lit(V.NAME)}), lambda n: array_to_string(regexp_split_to_array(regexp_replace(n, {sql.lit(f'(?i)^(?:(?:{_ONE_WORD})(?:[ \\t\\n]+|$))+')}, ''), '[ \\t\\n]+'), ' ')), lambda n: contains(n, ' '))"
+_FIRSTS = lambda l: f"list_filter({l}, lambda x, i: list_position({l}, x) = i)"
+_TOOL = lambda t: f"""CASE WHEN len(list_intersect(list_distinct({sql.tokens(t, True)}), {sql.stems(repr(V.FINANCIAL))})) > len(list_intersect(list_distinct({sql.tokens(t, True)}), {sql.stems(repr(V.BIOMEDICAL))})) THEN 'financial_lookup'
+  WHEN len(list_intersect(list_distinct({sql.tokens(t, True)}), {sql.stems(repr(V.BIOMEDICAL))})) > 0 THEN 'biomedical_search' ELSE 'document_search' END"""
+
+
+@query(f"""WITH a AS (SELECT DISTINCT query AS q FROM query_log WHERE query IS NOT NULL),
+b AS (SELECT q, regexp_matches(q, {sql.lit(V.COMPARISON)}) AS cmp, {_FIRSTS(f"list_concat(regexp_extract_all(q, {sql.lit(V.YEAR)}), regexp_extract_all(q, {sql.lit(V.FISCAL)}))")} AS periods, {_FIRSTS(_NAMES("q"))} AS names,
+  list_filter(list_transform(string_split(regexp_replace(q, '(?i)[ \\t\\n]+and[ \\t\\n]+(what|how|why|which|who|when|does|did|is|are|was|were)\\b', '␞\\1', 'g'), '␞'), lambda p: {_trimmed("p")}), lambda p: trim(p) <> '') AS joined FROM a),
+c AS (SELECT *, CASE WHEN cmp AND len(periods) > 1 THEN 'temporal_comparison' WHEN cmp AND len(names) > 1 THEN 'entity_comparison' WHEN len(joined) > 1 THEN 'conjunction' ELSE 'single_hop' END AS strategy, {_left_over("periods")} AS no_p, {_left_over("names")} AS no_n FROM b),
+e AS (SELECT q, strategy, names, unnest(s[1:3]) AS sub_query, unnest(range(0, len(s[1:3]))) AS sub_ix FROM (SELECT *, CASE strategy WHEN 'temporal_comparison' THEN list_transform(periods, lambda p: trim(no_p || ' ' || p))
+  WHEN 'entity_comparison' THEN list_transform(names, lambda n: trim(n || ' ' || no_n)) WHEN 'conjunction' THEN list_transform(joined, lambda p: CASE WHEN p LIKE '%?' THEN p ELSE p || '?' END) ELSE [q] END AS s FROM c))
+SELECT q AS query, CAST(sub_ix AS INTEGER) AS sub_ix, sub_query, {_TOOL("sub_query")} AS tool, CASE WHEN strategy = 'entity_comparison' THEN ({_NAMES("sub_query")})[1] ELSE names[1] END AS entity, strategy FROM e""")
 def plan_queries(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "query_log").select("query").where("query is not null").distinct()
     return planning.plans(q.withColumn("text", F.col("query")), "query", "text")
@@ -481,6 +651,21 @@ def upsert_facts(spark: SparkSession, d: str) -> DataFrame:
     return out.select("cik", "concept", "fiscal_year", "unit", "fact_id", "received_at")
 
 
+@query("""WITH n AS (SELECT DISTINCT doc_id FROM chunks WHERE created_at >= TIMESTAMP '2019-06-01' AND doc_id IS NOT NULL)
+SELECT DISTINCT chunk_id, doc_id, position FROM chunks WHERE doc_id IS NOT NULL AND (created_at >= TIMESTAMP '2019-06-01' OR doc_id NOT IN (SELECT doc_id FROM n))""")
+def replace_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the second half of 2019 replace all older ones of the same documents."""
+    c = table(spark, d, "chunks").where("doc_id is not null")
+    new = F.col("created_at") >= F.lit("2019-06-01 00:00:00").cast("timestamp_ntz")
+    return store.replace_groups(c.where(~new), c.where(new), ["doc_id"]).select("chunk_id", "doc_id", "position").distinct()
+
+
+@query("SELECT strategy, count(*) AS queries, CAST(round(sum(round(latency_ms * 1000)) FILTER (latency_ms >= 0 AND NOT isnan(latency_ms))) AS BIGINT) AS latency_us FROM query_log GROUP BY strategy")
+def log_counters(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "query_log").withColumn("latency_ms", F.when((F.col("latency_ms") >= 0) & ~F.isnan("latency_ms"), F.round(F.col("latency_ms") * 1000)))
+    return service.counters(rows).select("strategy", "queries", F.col("latency_sum").cast("bigint").alias("latency_us"))
+
+
 @query("SELECT DISTINCT chunk_id, doc_id FROM chunks c WHERE doc_id IS NULL OR doc_id NOT IN (SELECT doc_id FROM deletions WHERE doc_id IS NOT NULL)")
 def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     gone = table(spark, d, "deletions").where("doc_id is not null").select("doc_id").distinct()

@@ -33,6 +33,11 @@ def _files(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _files(spark, path)
+    return bool(files.exists(at))
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a table written to the shared folder; survives the loss of executors.
 

@@ -280,7 +280,7 @@ def test_whole_path(spark):
     s = Settings()
     index = search.build_index(chunks, s)
     qs = spark.createDataFrame([("a", "Compare Bluefern Energy against Corvane Payments margin"), ("b", "Which patients reached the trial endpoint?")], "query_id string, query string")
-    found, plan = search.evidence_for(index, qs, s)
+    found, plan, _ = search.evidence_for(index, qs, s)
     got = {(r.query_id, r.chunk_id) for r in found.collect()}
     assert {("a", "c1"), ("a", "c2"), ("b", "c3")} <= got and ("b", "c1") not in got
     out = {r.query_id: r for r in search.answer(index, qs, s).collect()}

@@ -1,0 +1,206 @@
+"""The composed paths: indexing documents, tools with facts, answers and their measures, configurations, the service."""
+
+import json
+import logging
+
+import pytest
+from pyspark.sql import functions as F
+
+from groundline.config import ConfigurationError, EmbeddingError, IndexNotBuiltError, RequestError, Settings
+from groundline.operators import answers, dense, fusion, planning, rerank, store
+from groundline.plans import evaluate, search, service
+
+SMALL = {"embedding.dim": 8, "chunking.min_tokens": 1, "reranking.enabled": False}
+TEXTS = [
+    (1, "sec_filing", "Bluefern Energy", "0000000007", "Bluefern Energy revenue rose to 12 million in fiscal 2024. Turbine margin fell after the northern plant closed."),
+    (2, "sec_filing", "Corvane Payments", "0000000009", "Corvane Payments revenue declined in 2023. Chargeback losses grew at every branch of the bank."),
+    (3, "biomedical_abstract", None, None, "Patients in the placebo cohort reached the trial endpoint late. The dose was well tolerated."),
+    (4, "user_document", None, None, "The deployment runbook describes rollback steps. Staging is deployed before production every week."),
+]
+SCHEMA = "doc_id int, source_type string, company_name string, cik string, text string"
+FACTS = [("0000000007", "Revenues", y, "USD", float(y)) for y in (2022, 2023, 2024)] + [("0000000009", "Revenues", 2023, "USD", 5.0)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(TEXTS, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def facts(spark):
+    return spark.createDataFrame(FACTS, "cik string, concept string, fiscal_year int, unit string, value double")
+
+
+@pytest.fixture(scope="module")
+def index(docs):
+    return search.index_documents(docs, Settings().with_overrides(SMALL))
+
+
+def test_documents_are_chunked_by_the_settings_and_found(spark, docs, index):
+    assert index.chunks.select("doc_id").distinct().count() == 4 and index.vectors.count() == index.chunks.count()
+    some = index.chunks.first()
+    assert index.get_chunk(some.chunk_id).first().text == some.text and index.get_chunk("none").count() == 0
+    assert index.get_document(3).first().source_type == "biomedical_abstract" and index.get_document(99).count() == 0
+    words = Settings().with_overrides({**SMALL, "chunking.strategy": "fixed_window", "chunking.target_tokens": 8, "chunking.overlap_tokens": 2})
+    cut = search.index_documents(docs, words, with_vectors=False)
+    assert cut.chunks.count() > index.chunks.count() and cut.chunks.agg(F.max("token_count")).first()[0] == 8
+    with pytest.raises(IndexNotBuiltError):
+        search.index_documents(docs.limit(0), Settings())
+    with pytest.raises(IndexNotBuiltError):
+        search.search(None, docs, Settings(), 3)
+    with pytest.raises(IndexNotBuiltError):
+        search.load_index(spark, "/tmp/groundline-no-such-index")
+
+
+def test_added_documents_are_found_and_replace(spark, index):
+    more = spark.createDataFrame([(5, "user_document", None, None, "Gardening notes about tulips and daffodils."), (4, "user_document", None, None, "Nothing of interest.")], SCHEMA)
+    settings = Settings().with_overrides(SMALL)
+    again = search.add_documents(index, more, settings)
+    hits = search.search(again, spark.createDataFrame([("q", "tulips"), ("r", "rollback runbook")], "qid string, query string"), settings, 1)
+    assert {r.qid: r.doc_id for r in hits.collect()}["q"] == 5 and again.documents.count() == 5
+    assert not again.chunks.where("text like '%rollback%'").head(1)
+    with pytest.raises(IndexNotBuiltError):
+        search.add_documents(search.Index(index.chunks), more, settings)
+
+
+def test_each_query_has_its_own_pool(spark, monkeypatch, index):
+    seen = {}
+
+    def spied(hits, own, f=fusion.within_pool):
+        out = f(hits, own)
+        seen.update({r.qid: r.own for r in hits.select("qid", "own").distinct().collect()})
+        return out
+
+    monkeypatch.setattr(fusion, "within_pool", spied)
+    queries = spark.createDataFrame([("plain", "revenue", None), ("scoped", "revenue", "Bluefern Energy")], "qid string, query string, entity string")
+    settings = Settings().with_overrides({**SMALL, "reranking.enabled": True})
+    search.search(index, queries, settings, 10).count()
+    assert seen == {"plain": 50, "scoped": 120}
+
+
+def test_tools_bring_facts_and_tell_errors(spark, index, facts):
+    settings = Settings().with_overrides(SMALL)
+    queries = spark.createDataFrame([("a", "Bluefern Energy revenue in 2024"), ("b", "trial endpoint of the placebo cohort")], "query_id string, query string")
+    got = {r.query_id: r for r in search.answer(index, queries, settings, facts=facts).collect()}
+    assert got["a"].tools_used == ["financial_lookup"] and got["a"].structured_rows == 1 and got["b"].structured_rows == 0 and got["a"].tool_errors == []
+    assert got["a"].evidence_count > 0 and got["a"].subqueries == ["Bluefern Energy revenue in 2024"] and got["a"].latency_ms >= got["a"].retrieval_ms > 0
+    plan = spark.createDataFrame([("a", 0, "Revenue of the company", "sql_lookup", "Bluefern Energy", "single_hop"), ("b", 0, "placebo cohort", "no_such_tool", None, "single_hop")], "query_id string, sub_ix int, sub_query string, tool string, entity string, strategy string")
+    found, _, brought = search.evidence_for(index, queries, settings, plan=plan, facts=facts)
+    rows = {r.query_id: r for r in brought.collect()}
+    # the SQL lookup brings the facts of the company its entity names, and no passages
+    assert rows["a"].tool == "sql_lookup" and rows["a"].structured_rows == 3 and rows["b"].tool == "document_search"
+    assert {r.query_id for r in found.select("query_id").distinct().collect()} == {"b"}
+    broken = facts.withColumn("fiscal_year", F.raise_error(F.lit("the store is down")).cast("int"))
+    hurt = {r.query_id: r for r in search.answer(index, queries, settings, facts=broken).collect()}
+    assert hurt["a"].tool_errors and hurt["a"].text == got["a"].text and hurt["b"].tool_errors == []
+    assert "sql_lookup" in planning.TOOL_SCOPE
+
+
+def test_answers_are_measured_and_logged(spark, index, tmp_path):
+    settings = Settings().with_overrides(SMALL)
+    judged = spark.createDataFrame([("a", "Bluefern Energy revenue", "single_hop", ["12", "turbine margin"]), ("b", "what of zebras", "other", [])], "query_id string, query string, type string, answer_terms array<string>")
+    rows = {r.query_id: r for r in evaluate.evaluate_answers(index, judged, settings).collect()}
+    # an extractive answer is grounded in its own evidence
+    assert rows["a"].groundedness == 1.0 and rows["a"].citation_resolvable == rows["a"].citation_supported == 1.0 and rows["a"].citation_count >= 1
+    assert rows["a"].answer_completeness > 0 and rows["b"].answer_completeness == 0 and rows["b"].has_answer == 1.0
+    s = evaluate.summary(evaluate.evaluate_answers(index, judged, settings), settings)
+    assert s["queries"] == 2 and set(s["by_query_type"]) == {"single_hop", "other"} and "groundedness" in s["confidence_intervals"]
+    store.log_queries(search.answer(index, judged.select("query_id", "query"), settings), str(tmp_path / "log"))
+    logged = store.recent_queries(spark.read.parquet(str(tmp_path / "log"))).collect()
+    assert len(logged) == 2 and all(len(r.query_id) == 36 and r.latency_ms > 0 for r in logged)
+
+
+def test_a_configuration_is_run_on_held_out_queries(spark, docs):
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    judged = spark.createDataFrame([(f"q{i}", texts[i % 4 + 1].split(".")[0], "single_hop", ["x"]) for i in range(16)], "query_id string, query string, type string, answer_terms array<string>")
+
+    def relevant(chunks):
+        wanted = judged.select("query_id", (F.regexp_extract("query_id", r"\d+", 0).cast("int") % 4 + 1).alias("doc_id"))
+        return wanted.join(chunks.select("doc_id", "chunk_id"), "doc_id").select("query_id", "chunk_id")
+
+    settings = Settings().with_overrides({**SMALL, "reranking.enabled": True, "evaluation.token_budget": 40})
+    out = evaluate.run_configuration("default", docs, judged, relevant, settings)
+    assert 0 < out["retrieval"]["queries"] < 16 and out["retrieval"]["metrics"]["recall_at_5"] == 1.0 and len(out["reranker_coefficients"]) == 10
+    assert out["answers"]["metrics"]["groundedness"] == 1.0 and out["index"]["documents"] == 4
+    assert evaluate.sweep_table([out]).splitlines()[2].startswith("| `default` | 4 |")
+    sweep = evaluate.sweep_settings(Settings())
+    assert [(s.chunking.target_tokens, s.chunking.overlap_tokens, s.chunking.min_tokens) for s in list(sweep.values())[:6]] == [(400, 40, 40), (300, 40, 40), (220, 40, 40), (180, 40, 40), (120, 30, 40), (80, 20, 40)]
+    assert Settings().with_overrides(evaluate.VARIANTS["fixed_window_chunking"]).chunking.min_tokens == 40
+
+
+def test_factories(spark, index):
+    class Letters:
+        """An encoder and pair scorer that knows letters."""
+
+        def encode(self, texts):
+            return [[float(t.lower().count(c)) + 0.01 for c in "aeiou"] for t in texts]
+
+        def predict(self, pairs):
+            return [float(len(set(q.lower().split()) & set(t.lower().split()))) for q, t in pairs]
+
+        def complete(self, prompt):
+            return "Revenue rose to 12 million [1]. Nothing else [9]."
+
+    with pytest.raises(EmbeddingError):
+        dense.build_encoder(Settings().with_overrides({"embedding.backend": "openai"}))
+    with pytest.raises(ConfigurationError):
+        Settings().with_overrides({"embedding.backend": "words"})
+    settings = Settings().with_overrides({**SMALL, "embedding.backend": "sentence_transformers", "generation.backend": "openai"})
+    outside = search.index_documents(index.documents, settings, encoder=Letters())
+    queries = spark.createDataFrame([("a", "Bluefern Energy revenue rose")], "query_id string, query string")
+    run = search.run_queries(outside, queries, settings, client=Letters())
+    r = run.answers.first()
+    assert r.text == "Revenue rose to 12 million [1]. Nothing else." and r.n_citations == 1 and run.citations.first().marker == 1
+    rows = spark.createDataFrame([("q", "a", "one two", "one", 0.1), ("q", "b", "one two", "one two", 0.2), ("q", "c", "one two", None, 0.3)], "qid string, chunk_id string, query string, text string, score double")
+    ranked = rerank.build_reranker(Settings(), scorer=Letters())(rows, "qid", "chunk_id", 2)
+    assert [(x.chunk_id, x["rank"]) for x in ranked.orderBy("rank").collect()] == [("b", 1), ("a", 2)]
+    kept = rerank.build_reranker(Settings().with_overrides({"reranking.model": "none"}), model=object())(rows.withColumn("rank", F.lit(1)), "qid", "chunk_id", 1)
+    assert kept.first().chunk_id == "c"
+    assert answers.build_synthesizer(Settings().with_overrides({"generation.backend": "openai"})).__name__ == "extract"
+
+
+def test_explained_variance(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = rng.random((12, 6)) * np.array([9, 5, 1, 1, 0.1, 0.1])
+    w = spark.createDataFrame([(i, f"t{j}", float(x[i, j])) for i in range(12) for j in range(6)], "d int, term string, w double")
+    _, terms = dense.latent_vectors(w, "d", 2)
+    _, _, v = np.linalg.svd(x)
+    want = (x @ v[:2].T).var(0).sum() / x.var(0).sum()
+    assert dense.explained_variance(w, terms, "d") == pytest.approx(want, rel=0.02)
+    assert dense.explained_variance(w.limit(0), terms, "d") == 0.0
+
+
+def test_service(spark, docs, index, facts, tmp_path):
+    settings = Settings().with_overrides(SMALL)
+    state = service.State(settings, index, facts, str(tmp_path / "log"))
+    queries = spark.createDataFrame([("a", "Bluefern Energy revenue"), ("b", ""), ("c", "x" * 2001)], "query_id string, query string")
+    got = {r.query_id: json.loads(r.response) for r in service.query(state, queries, 5, include_evidence=True).collect()}
+    assert got["a"]["citations"] and got["a"]["evidence"] and "empty" in got["b"]["error"] and "2000" in got["c"]["error"]
+    assert service.counters(spark.read.parquet(str(tmp_path / "log"))).first().queries == 1
+    for bad in (0, 51):
+        with pytest.raises(RequestError):
+            service.query(state, queries, bad)
+    with pytest.raises(RequestError):
+        service.ingest(state, docs.limit(0))
+    with pytest.raises(RequestError):
+        service.ingest(state, docs.limit(1).withColumn("text", F.lit("")))
+    assert service.ingest(state, spark.createDataFrame([(9, "user_document", None, None, "A new note.")], SCHEMA))["total_documents"] == 5
+    assert service.health(state, "postgresql://me:secret@db/x")["database"] == "postgresql://me:***@db/x" and service.health(state)["status"] == "ok"
+    lost = service.build_state(spark, settings, str(tmp_path / "nothing"))
+    assert lost.error and service.health(lost)["status"] == "degraded"
+    with pytest.raises(RequestError):
+        service.query(lost, queries)
+    search.save_index(index, str(tmp_path / "index"))
+    assert service.build_state(spark, settings, str(tmp_path / "index")).index.chunks.count() == index.chunks.count()
+
+
+def test_ddl_and_log(capsys):
+    ddl = service.schema_sql()
+    assert ddl.count("CREATE TABLE") == len(store.TABLES) and "PRIMARY KEY (cik, concept, fiscal_year, unit)" in ddl and "value DOUBLE PRECISION" in ddl
+    log = service.configure_logging("WARNING", json_output=True)
+    log.info("quiet"), log.warning("loud")
+    lines = [json.loads(x) for x in capsys.readouterr().err.splitlines()]
+    assert [x["event"] for x in lines] == ["loud"] and service.configure_logging("DEBUG").level == logging.DEBUG
+    logging.getLogger("groundline").handlers.clear()
