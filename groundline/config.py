@@ -18,7 +18,7 @@ class AcquisitionError(GroundlineError):
     """A source could not be read."""
 
 
-class EvaluationError(GroundlineError):
+class EvaluationError(GroundlineError, ValueError):
     """Judgements and collection do not go together."""
 
 

@@ -54,10 +54,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder with all it holds, if it is there."""
+    files, at = _files(spark, path)
+    files.delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that materialise() wrote and nothing reads any more."""
-    files, at = _files(df.sparkSession, df.written_to)
-    files.delete(at, True)
+    delete(df.sparkSession, df.written_to)
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,17 @@ def fetch_urls(ids: list[str], email: str) -> list[str]:
     return [f"{EUTILS}/efetch.fcgi?db=pubmed&retmode=xml&email={email}&id={','.join(ids[i : i + RECORDS])}" for i in range(0, len(ids), RECORDS)]
 
 
+def search_and_fetch(spark: SparkSession, query: str, most: int, email: str, pages: Callable[[list[str]], DataFrame]) -> DataFrame:
+    """Documents of the ``most`` records most relevant to a query. ``pages`` reads addresses, as http.read_pages does.
+
+    No record found gives no documents; an answer that is no article set is an error.
+    """
+    found = pages([search_url(query, most, email)]).select(search_ids(F.col("payload")).alias("ids")).first()
+    ids = list(dict.fromkeys((found["ids"] if found else None) or []))[:most]
+    payloads = pages(fetch_urls(ids, email)).select(F.when(F.col("payload").contains("PubmedArticleSet"), F.col("payload")).otherwise(F.raise_error(F.lit("no article set: malformed abstracts"))).alias("payload"))
+    return parse_articles(payloads, "payload")
+
+
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     """Recorded payloads, one whole file a row: path, payload."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("payload"))

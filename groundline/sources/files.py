@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 from groundline.config import AcquisitionError
 from groundline.functions import text as T
@@ -144,27 +146,71 @@ def citation_label(source_type: Column, meta: Column, heading: Column, doc_id: C
     return F.when(source_type == "sec_filing", F.coalesce(F.nullif(filing, F.lit("")), fallback)).when(source_type == "biomedical_abstract", abstract).otherwise(fallback)
 
 
-def write_markdown(docs: DataFrame, folder: str) -> None:
-    """One Markdown file with front matter for each document, written by the executors to a shared folder."""
+def _markdown(row) -> str:
+    """A document with its metadata as front matter; its sections, if it has any, under their headings."""
+    import json
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-        import os
+    meta = {k: v for k, v in json.loads(row["meta"]).items() if v not in (None, [], {}) and k not in ("extras", "source_file")}
+    head = "\n".join(f"{k}: {json.dumps(v, ensure_ascii=False)}" for k, v in {"source_type": row["source_type"], **meta}.items())
+    body = "\n\n".join(f"## {s['heading']}\n\n{s['text']}" for s in row["sections"] or []) or row["text"]
+    return f"---\n{head}\n---\n\n{body}\n"
 
-        os.makedirs(folder, exist_ok=True)
-        for pdf in batches:
-            for r in pdf.to_dict("records"):
-                meta = {k: v for k, v in json.loads(r["meta"]).items() if v not in (None, [], {}) and k not in ("extras", "source_file")}
-                lines = [f"{k}: {json.dumps(v, ensure_ascii=False)}" for k, v in {"source_type": r["source_type"], **meta}.items()]
-                body = r["text"] if not len(r["sections"]) else "\n\n".join(f"## {s['heading']}\n\n{s['text']}" for s in r["sections"])
-                # a task that runs twice replaces its own file
-                path = os.path.join(folder, f"{r['doc_id']}.md")
-                with open(f"{path}.part", "w", encoding="utf-8") as f:
-                    f.write("---\n" + "\n".join(lines) + f"\n---\n\n{body}\n")
-                os.replace(f"{path}.part", path)
-            yield pd.DataFrame({"n": [len(pdf)]})
-
-    docs.select("doc_id", "source_type", "text", F.to_json("metadata").alias("meta"), "sections").mapInPandas(run, "n bigint").agg(F.sum("n")).collect()
+
+class MarkdownSink(DataSource):
+    """``df.write.format("markdown_files")``: a file <doc_id>.md for each row, in a folder of any file system Arrow knows
+    (local, hdfs, s3). Tasks write to names of their own; a file is given its name when all tasks are through."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "markdown_files"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _MarkdownWriter(self.options["path"])
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    moves: list
+
+
+class _MarkdownWriter(DataSourceWriter):
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def _place(self):
+        from pyarrow import fs
+
+        files, folder = fs.FileSystem.from_uri(self.folder) if "://" in self.folder or self.folder.startswith("file:") else (fs.LocalFileSystem(), self.folder)
+        files.create_dir(folder, recursive=True)
+        return files, folder.rstrip("/")
+
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        from uuid import uuid4
+
+        files, folder = self._place()
+        moves = []
+        for row in rows:
+            part = f"{folder}/.{row['doc_id']}-{uuid4().hex}"
+            with files.open_output_stream(part) as out:
+                out.write(_markdown(row).encode())
+            moves.append((part, f"{folder}/{row['doc_id']}.md"))
+        return _Written(moves)
+
+    def commit(self, messages: list) -> None:
+        files, _ = self._place()
+        for part, name in (m for message in messages if message for m in message.moves):
+            files.move(part, name)
+
+    def abort(self, messages: list) -> None:
+        files, _ = self._place()
+        for part, _name in (m for message in messages if message for m in message.moves):
+            files.delete_file(part)
+
+
+def write_markdown(docs: DataFrame, folder: str) -> None:
+    """One Markdown file with front matter for each document, written by the executors to a shared folder."""
+    docs.sparkSession.dataSource.register(MarkdownSink)
+    docs.select("doc_id", "source_type", "text", F.to_json("metadata").alias("meta"), "sections").write.format("markdown_files").mode("append").option("path", folder).save()
 
 
 def write_chunks_jsonl(chunks: DataFrame, path: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from groundline.functions import text as T
 from groundline.functions import vocabulary as V
+from groundline.runtime import materialise
+from groundline.sources.html import page_text
 
 SUBMISSIONS = """cik string, name string, tickers array<string>, filings struct<recent:struct<accessionNumber:array<string>,form:array<string>,
 filingDate:array<string>,reportDate:array<string>,primaryDocument:array<string>>>"""
@@ -31,10 +35,35 @@ def read_company_facts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COMPANY_FACTS).json(path, multiLine=True, mode="FAILFAST")
 
 
-def ticker_to_cik(tickers: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``wanted`` (ticker) with the cik of the ticker map (ticker, cik), whatever the case."""
+def ticker_to_cik(tickers: DataFrame, wanted: DataFrame, strict: bool = False) -> DataFrame:
+    """``wanted`` (ticker) with the cik of the ticker map (ticker, cik), whatever the case.
+
+    An unknown ticker has a null cik; with ``strict`` it is an error.
+    """
     m = tickers.select(F.upper("ticker").alias("t"), normalise_cik(F.col("cik").cast("string")).alias("cik"))
-    return wanted.join(m, F.upper("ticker") == F.col("t"), "left").drop("t")
+    out = wanted.join(m, F.upper("ticker") == F.col("t"), "left").drop("t")
+    return out.withColumn("cik", F.coalesce("cik", F.raise_error(F.concat(F.lit("unknown ticker: "), F.col("ticker"))))) if strict else out
+
+
+# Where a company's submissions lie.
+SUBMISSIONS_AT = "https://data.sec.gov/submissions/CIK%s.json"
+
+
+def fetch_filings(spark: SparkSession, ciks: list[str], forms: list[str], limit: int, pages: Callable[[list[str]], DataFrame]) -> DataFrame:
+    """Documents of the latest filings of companies. ``pages`` reads addresses (url, payload), as http.read_pages does.
+
+    The addresses of the filings wanted, ``limit`` for each of the named companies, pass the driver.
+    """
+    got = pages([SUBMISSIONS_AT % c.rjust(10, "0") for c in ciks]).select(F.from_json("payload", SUBMISSIONS).alias("s")).select("s.*")
+    listed = materialise(list_filings(got, forms, limit), "filings")
+    bodies = pages([r["document_url"] for r in listed.select("document_url").collect()])
+    text = bodies.mapInPandas(_page_texts, "document_url string, body string")
+    return build_documents(listed.join(text, "document_url"), "body")
+
+
+def _page_texts(batches):
+    for pdf in batches:
+        yield pdf.assign(body=[page_text(p or "") for p in pdf["payload"]]).rename(columns={"url": "document_url"})[["document_url", "body"]]
 
 
 def list_filings(submissions: DataFrame, forms: list[str], limit: int | None = None) -> DataFrame:

@@ -8,9 +8,11 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from groundline.config import AcquisitionError
+
 # Answers worth another try, tries, and the waits between them.
 RETRIED, TRIES, FIRST_WAIT, LONGEST_WAIT = frozenset([429, 500, 502, 503, 504]), 4, 2.0, 16.0
 
@@ -38,10 +40,10 @@ def fetch(url: str, headers: dict[str, str], slots: Slots, opener: Callable = ur
                 return answer.read().decode("utf-8", errors="replace")
         except urllib.error.HTTPError as e:
             if e.code not in RETRIED or not left:
-                raise
-        except urllib.error.URLError:
+                raise AcquisitionError(f"{url}: {e}") from e
+        except urllib.error.URLError as e:
             if not left:
-                raise
+                raise AcquisitionError(f"{url}: {e}") from e
         slots.sleep(wait)
         wait = min(wait * 2, LONGEST_WAIT)
     raise AssertionError
@@ -76,5 +78,11 @@ class _PagesReader(DataSourceReader):
             yield url, fetch(url, {"User-Agent": self.agent}, slots)
 
 
+def read_pages(spark: SparkSession, urls: list[str], agent: str, rate: float = 8) -> DataFrame:
+    """Payloads of addresses, in one task, since a rate holds for a client as a whole: url, payload."""
+    register(spark)
+    return spark.read.format("pages").options(urls=" ".join(urls), agent=agent, rate=rate).load()
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(PagesSource)

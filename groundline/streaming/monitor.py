@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundline.operators.store import replace_groups
+from groundline.runtime import delete
 
 
 def log_windows(log: DataFrame, at: str = "created_at", length: str = "10 minutes", slide: str = "5 minutes", late: str | None = "10 minutes") -> DataFrame:
@@ -35,7 +36,8 @@ def alerts(windows: DataFrame, least_groundedness: float = 0.8, most_latency: fl
 def ingest(spark: SparkSession, folder: str, schema: str, table_path: str, keys: list[str], checkpoint: str, on_batch: Callable[[DataFrame], DataFrame] | None = None):
     """Files dropped to a folder are upserted into a table; a batch that runs again gives the same table.
 
-    Every batch writes a new version of the table beside the old one and then names it in a pointer file.
+    Every batch writes a new version of the table beside the old one and then names it in a pointer file. The version
+    before stays for those who are reading it; older ones are deleted.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -45,6 +47,7 @@ def ingest(spark: SparkSession, folder: str, schema: str, table_path: str, keys:
         out = new if old is None else replace_groups(old, new, keys)
         out.write.mode("overwrite").parquet(f"{table_path}/v{number}")
         spark.createDataFrame([(number,)], "version int").coalesce(1).write.mode("overwrite").json(f"{table_path}/pointer")
+        delete(spark, f"{table_path}/v{number - 2}")
 
     return spark.readStream.schema(schema).json(folder).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -204,3 +204,49 @@ def test_ddl_and_log(capsys):
     lines = [json.loads(x) for x in capsys.readouterr().err.splitlines()]
     assert [x["event"] for x in lines] == ["loud"] and service.configure_logging("DEBUG").level == logging.DEBUG
     logging.getLogger("groundline").handlers.clear()
+
+
+def test_composed_clients(spark):
+    from groundline.config import AcquisitionError
+    from groundline.sources import abstracts, filings, http
+
+    asked = []
+
+    def pages(of):
+        def read(urls):
+            asked.extend(urls)
+            return spark.createDataFrame([(u, of(u)) for u in urls], "url string, payload string")
+
+        return read
+
+    article = "<PubmedArticle><MedlineCitation><PMID>{0}</PMID><Article><ArticleTitle>T{0}</ArticleTitle><Abstract><AbstractText>Said {0}.</AbstractText></Abstract></Article></MedlineCitation></PubmedArticle>"
+
+    def pubmed(url):
+        if "esearch" in url:
+            return json.dumps({"esearchresult": {"idlist": ["11", "12", "11"]}})
+        return "<PubmedArticleSet>" + "".join(article.format(i) for i in url.split("id=")[1].split(",")) + "</PubmedArticleSet>"
+
+    docs = abstracts.search_and_fetch(spark, "sepsis", 5, "a@b.example", pages(pubmed))
+    assert {r.pmid for r in docs.collect()} == {"11", "12"} and len(asked) == 2
+    with pytest.raises(Exception, match="malformed"):
+        abstracts.search_and_fetch(spark, "x", 5, "a@b.example", pages(lambda u: pubmed(u) if "esearch" in u else "busy")).collect()
+    recent = {"accessionNumber": ["1-24-1", "1-24-2", "1-24-3"], "form": ["10-K", "8-K", "10-K"], "filingDate": ["2024-02-01"] * 3, "reportDate": ["2023-12-31", "", ""], "primaryDocument": ["a.htm", "b.htm", "c.htm"]}
+
+    def edgar(url):
+        if "submissions" in url:
+            return json.dumps({"cik": "7", "name": "Acme", "tickers": ["ACM"], "filings": {"recent": recent}})
+        return "<html><body><p>Item 1. Business</p><p>We make things.</p></body></html>"
+
+    got = filings.fetch_filings(spark, ["7"], ["10-K"], 1, pages(edgar)).collect()
+    assert len(got) == 1 and got[0].fiscal_year == 2023 and "We make things." in got[0].text and got[0].url.endswith("/7/1241/a.htm")
+    tickers = spark.createDataFrame([("ACM", 7)], "ticker string, cik int")
+    with pytest.raises(Exception, match="unknown ticker"):
+        filings.ticker_to_cik(tickers, spark.createDataFrame([("NONE",)], "ticker string"), strict=True).collect()
+
+    def refused(request, timeout):
+        import urllib.error
+
+        raise urllib.error.URLError("refused")
+
+    with pytest.raises(AcquisitionError):
+        http.fetch("http://x.example", {}, http.Slots(1e9, clock=lambda: 0.0, sleep=lambda s: None), refused)
