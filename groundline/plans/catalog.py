@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,9 +13,12 @@ from groundline.functions import text as T
 from groundline.functions import vocabulary as V
 from groundline.operators import answers, chunking, dense, fusion, lexical, metrics, planning, references, relevance, rerank, store
 from groundline.plans import evaluate, search, service, sql
-from groundline.runtime import materialise, table
+from groundline.runtime import materialise, shared_dir, table
+from groundline.sources import judgements
 from groundline.sources.abstracts import parse_articles
+from groundline.sources.files import enriched, read_directory, write_markdown
 from groundline.sources.filings import list_filings, normalise_cik, split_items, us_gaap_facts
+from groundline.sources.html import page_text
 from groundline.streaming import monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -186,6 +190,57 @@ def abstract_records(spark: SparkSession, d: str) -> DataFrame:
     return a.select("pmid", "publication_year", F.size(F.filter("mesh_terms", lambda m: m != "")).alias("n_mesh"), said.alias("said"), "url")
 
 
+_HEAD = lambda p, g=1: f"nullif(regexp_extract(left(text, 4000), {sql.lit(p)}, {g}), '')"
+_FIRST_LINE = "list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^ +', ''), ' +$', '')), lambda x: x <> '')[1]"
+
+
+@query(f"""WITH e AS (SELECT doc_id, source_type, company_name, title, text, coalesce(fiscal_year, CASE WHEN source_type = 'sec_filing' THEN CAST({_HEAD(V.FISCAL_YEAR)} AS INTEGER) END) AS fiscal_year,
+  coalesce(form_type, CASE WHEN source_type = 'sec_filing' THEN upper({_HEAD(V.FORM_TYPE)}) END) AS form_type, coalesce(cik, CASE WHEN source_type = 'sec_filing' THEN lpad({_HEAD(V.CIK)}, 10, '0') END) AS cik,
+  coalesce(publication_year, CASE WHEN source_type = 'biomedical_abstract' THEN CAST(nullif(regexp_extract(left(text, 4000), '(?:^|[^\\p{{L}}\\p{{N}}_])((?:19|20)\\d{{2}})(?:$|[^\\p{{L}}\\p{{N}}_])', 1), '') AS INTEGER) END) AS publication_year FROM documents)
+SELECT doc_id, fiscal_year, form_type, cik, publication_year, coalesce(nullif(title, ''), CASE WHEN source_type = 'sec_filing' AND company_name IS NOT NULL THEN trim(concat_ws(' ', company_name, coalesce(form_type, 'filing'), CAST(fiscal_year AS VARCHAR))) END,
+  CASE WHEN length({_FIRST_LINE}) > 120 THEN regexp_replace(left({_FIRST_LINE}, 117), ' [^ ]*$', '') || '...' ELSE {_FIRST_LINE} END, '') AS title FROM e""")
+def enriched_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata completed from the first characters of each text, a feature of the operator."""
+    meta = F.struct("title", "company_name", "form_type", "fiscal_year", "cik", "publication_year")
+    docs = table(spark, d, "documents").select("doc_id", "source_type", "text", meta.alias("metadata"))
+    return enriched(docs).select("doc_id", *[f"metadata.{c}" for c in ("fiscal_year", "form_type", "cik", "publication_year", "title")])
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, source_type, title, company_name, CASE WHEN length(trim(cik)) < 10 THEN lpad(trim(cik), 10, '0') ELSE trim(cik) END AS cik, fiscal_year, coalesce(len(authors), 0) AS n_authors
+FROM documents WHERE trim(title) <> '' AND (cik IS NULL OR trim(cik) <> '')""")
+def markdown_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Titled documents written as Markdown files with front matter, and read again."""
+    docs = table(spark, d, "documents").where("trim(title) <> '' and (cik is null or trim(cik) <> '')")
+    meta = F.struct("title", "company_name", "cik", "fiscal_year", "authors")
+    folder = f"{shared_dir(spark).rstrip('/')}/groundline/{spark.sparkContext.applicationId}/markdown-{uuid.uuid4().hex}"
+    write_markdown(docs.select("doc_id", "source_type", F.coalesce("text", F.lit("")).alias("text"), meta.alias("metadata"), F.array().cast("array<struct<heading:string,text:string>>").alias("sections")), folder)
+    got, _ = read_directory(spark, folder)
+    m = lambda c: F.col(f"metadata.{c}").alias(c)
+    return got.select(F.regexp_extract("metadata.source_file", r"^(.*)\.md$", 1).alias("doc_id"), "source_type", m("title"), m("company_name"), m("cik"), m("fiscal_year"), F.size("metadata.authors").alias("n_authors"))
+
+
+@query("SELECT doc_id, 'Head & <tail> ' || doc_id || ' size ' || coalesce(n_chars, 0) AS words FROM documents")
+def html_words(spark: SparkSession, d: str) -> DataFrame:
+    """Pages with markup, entities and scripts around each document's numbers, and their text."""
+    page = F.concat(
+        F.lit("<!DOCTYPE html><html><head><style>p {x: 1}</style><script>var a = '<p>no</p>';</script></head><body><h1>Head &amp; &lt;tail&gt;</h1><!-- not this --><div><p><b>"), F.col("doc_id").cast("string"),
+        F.lit("</b></p><ul><li>size&nbsp;</li><li>"), F.coalesce("n_chars", F.lit(0)).cast("string"), F.lit("</li></ul></div></body></html>"),
+    )
+    read = F.pandas_udf(lambda pages: pages.map(page_text), "string")
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.words(read(page)), " ").alias("words"))
+
+
+@query("""WITH q AS (SELECT DISTINCT query_id, query, relevant FROM qrels WHERE query_id IS NOT NULL), r AS (SELECT query_id, unnest(relevant) AS r, generate_subscripts(relevant, 1) - 1 AS target FROM q)
+SELECT query_id, CAST(target AS INTEGER) AS target, r.document AS document, len(coalesce(r.sections, [])) AS n_sections FROM r""")
+def judgement_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Judgements written as the one JSON document that a judgement file is, and read again."""
+    q = table(spark, d, "qrels").where("query_id is not null").select("query_id", "query", "type", "relevant", "answer_terms").groupBy("query_id", "query", "relevant").agg(F.first("type").alias("type"), F.first("answer_terms").alias("answer_terms"))
+    folder = f"{shared_dir(spark).rstrip('/')}/groundline/{spark.sparkContext.applicationId}/judgements-{uuid.uuid4().hex}"
+    whole = q.agg(F.to_json(F.struct(F.lit("1").alias("version"), F.collect_list(F.struct("query_id", "query", "type", "relevant", "answer_terms")).alias("queries"))).alias("value"))
+    whole.coalesce(1).write.text(folder)
+    return judgements.targets(judgements.read_judgements(spark, folder)).select("query_id", "target", "document", F.size("sections").alias("n_sections"))
+
+
 # ---------------------------------------------------------------- chunks
 
 
@@ -268,6 +323,13 @@ def lsi_topk(spark: SparkSession, d: str) -> DataFrame:
     return dense.dense_top_k(rows.where("doc_id % 20 = 0"), rows, "doc_id", "vector", 5)
 
 
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: 3 * x) AS e FROM embeddings WHERE embedding IS NOT NULL), n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v)
+SELECT vec_id, round(e[1] / n, 6) AS first, round(list_inner_product(e, e) / (n * n), 6) AS norm FROM n""")
+def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "embeddings").where("embedding is not null").select("vec_id", dense.l2_normalise(F.transform("embedding", lambda x: 3 * x.cast("double"))).alias("v"))
+    return v.select("vec_id", F.round(F.col("v")[0], 6).alias("first"), F.round(dense.cosine(F.col("v"), F.col("v")), 6).alias("norm"))
+
+
 def _two_lists(spark: SparkSession, d: str, k: int = 50) -> tuple[DataFrame, DataFrame]:
     r = table(spark, d, "retrieved_chunks").where("query_id is not null and chunk_id is not null")
     best = r.groupBy("query_id", "chunk_id").agg(*[F.max(F.when(~F.isnan(c), F.col(c))).alias(c) for c in ("lexical_score", "dense_score")])
@@ -550,6 +612,39 @@ def stripped_markers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents", "doc_id", "text").where("text is not null").select("doc_id", F.md5(t).alias("digest"))
 
 
+@query(f"""WITH b AS (SELECT query_id, chunk_id, retrieved_at, score, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, retrieved_at) AS r FROM retrieved_chunks
+  WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)),
+m AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, retrieved_at, chunk_id) AS rank FROM b WHERE r = 1 QUALIFY rank <= 10),
+k AS (SELECT DISTINCT ON (chunk_id) chunk_id, doc_id, text FROM chunks ORDER BY chunk_id, coalesce(doc_id, -9), position),
+s AS (SELECT m.query_id, k.doc_id, m.rank, k.text FROM m JOIN k USING (chunk_id) WHERE k.doc_id IS NOT NULL AND k.text IS NOT NULL),
+c AS (SELECT query_id, doc_id, min(rank) AS rank, arg_min(text, rank) AS text FROM s GROUP BY ALL)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS marker, CASE WHEN length(text) > 240 THEN regexp_replace(left(text, 237), '(?s) [^ ]*$', '') || '...' ELSE text END AS quote FROM c""")
+def cited_documents(spark: SparkSession, d: str) -> DataFrame:
+    """One citation for each document among a query's ten best chunks, numbered by first use."""
+    spans = merge_best(spark, d).select("query_id", "chunk_id", F.col("rank").alias("span_ix")).join(_chunks(spark, d).select("chunk_id", "doc_id", F.col("text").alias("span")), "chunk_id")
+    spans = spans.where("doc_id is not null and span is not null").select("query_id", F.col("doc_id").alias("chunk_id"), "span_ix", "span")
+    return answers.citations(spans).select("query_id", F.col("chunk_id").alias("doc_id"), "marker", "quote")
+
+
+@query("""WITH b AS (SELECT query_id, chunk_id, doc_id, retrieved_at, score, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY score DESC, retrieved_at) AS r FROM retrieved_chunks
+  WHERE query_id IS NOT NULL AND chunk_id IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)),
+m AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, retrieved_at, chunk_id) AS rank FROM b WHERE r = 1),
+h AS (SELECT query_id, arg_min(cik, rank) AS cik FROM m JOIN documents USING (doc_id) WHERE cik <> '' GROUP BY 1),
+q AS (SELECT DISTINCT query_id, query FROM query_log WHERE query_id IS NOT NULL), y AS (SELECT DISTINCT query_id, CAST(unnest(CASE WHEN len(regexp_extract_all(query, '\\b(?:19|20)\\d{2}\\b')) > 0 THEN regexp_extract_all(query, '\\b(?:19|20)\\d{2}\\b') ELSE [NULL] END) AS INTEGER) AS year FROM q),
+f AS (SELECT cik, concept, unit, fiscal_year, fact_id FROM financial_facts WHERE form LIKE '10-K%' AND fiscal_year IS NOT NULL AND fiscal_period = 'FY'
+  QUALIFY row_number() OVER (PARTITION BY cik, concept, fiscal_year ORDER BY coalesce(end_date, '') DESC, accession_number DESC NULLS LAST, fact_id DESC) = 1)
+SELECT query_id, f.cik, concept, fiscal_year, unit, fact_id FROM y JOIN h USING (query_id) JOIN f ON f.cik = h.cik AND (year IS NULL OR fiscal_year = year)
+QUALIFY row_number() OVER (PARTITION BY query_id, year ORDER BY fiscal_year DESC, concept, unit) <= 25""")
+def query_facts(spark: SparkSession, d: str) -> DataFrame:
+    """Facts of the company of each query's best hit that has one, for the years the query names."""
+    r = table(spark, d, "retrieved_chunks").where("query_id is not null and chunk_id is not null and score is not null and not isnan(score)").select("query_id", "chunk_id", "doc_id", "score", "retrieved_at")
+    best = fusion.merge_results(r, "query_id", "chunk_id", "retrieved_at", 1 << 30).select("query_id", "doc_id", "rank")
+    hits = best.join(table(spark, d, "documents").select("doc_id", "cik"), "doc_id")
+    queries = table(spark, d, "query_log").where("query_id is not null").select("query_id", "query").distinct()
+    facts = store.annual_facts(table(spark, d, "financial_facts"))
+    return search.structured_facts(hits, queries, facts).select("query_id", "cik", "concept", "fiscal_year", "unit", "fact_id")
+
+
 @query()
 def mmr_answers(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "probe_queries").select("query_id", "query")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -58,8 +59,6 @@ def _metadata(matter: dict) -> dict:
 
 def _parse(pdf_text: Callable[[bytes], str] | None):
     def one(path: str, content: bytes) -> dict:
-        import re
-
         name = path.rsplit("/", 1)[-1]
         suffix = name.rsplit(".", 1)[-1].lower()
         matter, error, raw = {}, None, ""
@@ -180,7 +179,8 @@ class _MarkdownWriter(DataSourceWriter):
     def _place(self):
         from pyarrow import fs
 
-        files, folder = fs.FileSystem.from_uri(self.folder) if "://" in self.folder or self.folder.startswith("file:") else (fs.LocalFileSystem(), self.folder)
+        local = re.sub("^file:/*", "/", self.folder)
+        files, folder = fs.FileSystem.from_uri(self.folder) if "://" in local else (fs.LocalFileSystem(), local)
         files.create_dir(folder, recursive=True)
         return files, folder.rstrip("/")
 
