@@ -166,7 +166,9 @@ def select_percentiles(blocks: DataFrame, by: list[str], ps: list[float], finish
 
 def _allotted(state: DataFrame, parts: DataFrame, n_open: int, finish: int) -> DataFrame:
     """The state after a round: targets fall below, on or above the pivot; small rests are compared directly."""
-    s = state.where("value is null").drop("at", "side", "value").join(_sides(parts).withColumnRenamed("at", "seg"), ["g", "seg"])
+    # the state's own rows join without a shuffle where their counted size allows it
+    small = lambda df: F.broadcast(df) if 2 * n_open * STATE_BYTES <= BROADCAST_BYTES else df
+    s = _sides(parts).withColumnRenamed("at", "seg").join(small(state.where("value is null").drop("at", "side", "value")), ["g", "seg"])
     part = F.expr("""filter(array(
         named_struct('side', -1, 'left', below, 'pivot', low, 'targets', filter(targets, t -> t.k <= below)),
         named_struct('side', 0, 'left', equal, 'pivot', pivot, 'targets', filter(targets, t -> t.k > below and t.k <= below + equal)),
@@ -176,7 +178,7 @@ def _allotted(state: DataFrame, parts: DataFrame, n_open: int, finish: int) -> D
     s = s.select("g", F.col("seg").alias("at"), "n", F.explode(part).alias("part")).select("g", "at", "n", "part.*")
     few = _met(parts.select("g", "at", "side", "salt", "v"), s.where(f"side <> 0 and left <= {finish}").select("g", "at", "side"), 2 * n_open)
     few = few.groupBy("g", "at", "side").agg(F.array_sort(F.flatten(F.collect_list("v"))).alias("few"))
-    s = s.join(few, ["g", "at", "side"], "left")
+    s = s.join(small(few), ["g", "at", "side"], "left")
     # a target that is found by comparison gets a row of its own
     s = s.withColumn("targets", F.explode(F.when(F.col("few").isNull(), F.array("targets")).otherwise(F.transform("targets", lambda t: F.array(t)))))
     value = F.when(F.col("side") == 0, F.col("pivot")).otherwise(F.expr("few[cast(targets[0].k as int) - 1]"))
