@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from groundline.runtime import broadcast_if_small, materialise
 
 #: Coordinates of a signature, and the collisions from which a pair is kept. A pair of similarity s collides in a
-#: binomial number of coordinates: at 0.6 fewer than 12 of 32 with probability 0.3 %, at 0.7 below 0.002 %.
+#: binomial number of coordinates; with CHANCE it is missed with probability 0.45 % at 0.6, 0.07 % at 0.65, 0.007 % at 0.7.
 COORDINATES, MATCHES = 32, 12
 #: Collisions as counted, on four bits of each value: by chance one more than on the values themselves.
 CHANCE = 1
@@ -425,7 +425,7 @@ def similar_classes(rows: DataFrame, text: str, width: int = 5, at_least: float
 
     Null texts and texts of fewer than ``width`` words have no shingles and are in no pair; copies are one class;
     empty tables give no pairs; other columns are not looked at. Every pair found is exact; a pair of similarity s is
-    missed where fewer than ``matches`` coordinates collide, with probability 0.3 % at 0.6 and below 0.002 % from 0.7 on.
+    missed where too few coordinates collide, with probability 0.45 % at 0.6 and below 0.01 % from 0.7 on.
     """
     texts = rows.select(*text_class(text), F.col(text).cast("string").alias("text")).where("text is not null")
     signed = texts.mapInArrow(_sign_batches(width), "h1 bigint, h2 bigint, signature binary").dropDuplicates(_CLASS)
